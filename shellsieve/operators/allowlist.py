@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.functions import text as X
+from shellsieve.operators.barrier import seal
 from shellsieve.vocabulary import (
     BUILT_IN_COMMANDS,
     EVASION_WORDS,
@@ -55,11 +56,12 @@ def allow_rule(text: Column, source: Column) -> Column:
 
 
 def add_allow_rule(df: DataFrame, text: str, source: str = "source") -> DataFrame:
-    return (
+    ruled = (
         df.withColumn("__allow_text", allow_text(F.col(text)))
         .withColumn("allow_rule", allow_rule(F.col("__allow_text"), F.col(source)))
         .drop("__allow_text")
     )
+    return seal(ruled, ["allow_rule"])
 
 
 def mark_trusted(

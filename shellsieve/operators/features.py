@@ -3,7 +3,8 @@
 The work is laid out in layers, one projection each: payload, match text, keyword
 flags, combinations, alerts, density.  A layer's results are used several times by
 the next, so Catalyst keeps the layers apart and evaluates every one of them once
-per row; there is no shuffle and no Python in the whole chain.
+per row; the last is sealed, so that filters on a flag do not undo this.  There is no
+shuffle and no Python in the whole chain.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.functions import text as X
+from shellsieve.operators.barrier import seal
 from shellsieve.vocabulary import (
     CHAR_CODE_MARK,
     DETAIL_COLUMNS,
@@ -33,8 +35,7 @@ _CONCATENATION = (
 )
 
 
-def add_match_text(df: DataFrame, text: str) -> DataFrame:
-    """Add the de-obfuscated lower-case text that keywords are looked for in."""
+def _with_match_text(df: DataFrame, text: str) -> DataFrame:
     steps = (
         ("__tokens", X.base64_tokens(F.col(text))),
         ("__payload", X.hidden_payload(F.col("__tokens"))),
@@ -48,6 +49,11 @@ def add_match_text(df: DataFrame, text: str) -> DataFrame:
     return df.drop("__tokens", "__payload", "__full", "__joined", "__resolved")
 
 
+def add_match_text(df: DataFrame, text: str) -> DataFrame:
+    """Add the de-obfuscated lower-case text that keywords are looked for in."""
+    return seal(_with_match_text(df, text), [MATCH_TEXT])
+
+
 def keyword_flags(
     text: Column, match: Column, keywords: Mapping[str, Sequence[str]] = KEYWORDS
 ) -> dict[str, Column]:
@@ -106,8 +112,8 @@ def add_features(
 
     ``helpers`` also keeps the match text and the three flags that only feed others.
     """
-    keep = [c for c in df.columns]
-    matched = add_match_text(df, text)
+    keep = df.columns
+    matched = _with_match_text(df, text)
     raw, match = F.col(text), F.col(MATCH_TEXT)
     flagged = matched.select(
         *keep,
@@ -123,7 +129,7 @@ def add_features(
     )
     dense = numeric.withColumn("danger_density", reduce(add, map(F.col, FLAG_COLUMNS)))
     extra = (MATCH_TEXT, *HELPERS) if helpers else ()
-    return dense.select(*keep, *FEATURE_COLUMNS, *extra)
+    return seal(dense.select(*keep, *FEATURE_COLUMNS, *extra), (*FEATURE_COLUMNS, *extra))
 
 
 def feature_frame(df: DataFrame) -> DataFrame:

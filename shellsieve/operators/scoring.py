@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shellsieve.operators.barrier import seal
 from shellsieve.vocabulary import (
     ALERT_SCORE,
     CRITICAL_SCORE,
@@ -54,10 +55,10 @@ def add_base_score(
         raised = missing if needed is None else F.when(needed, missing)
         return df.withColumn("base_ml_score", raised.cast("double"))
     filled = df.fillna(0, subset=list(FEATURE_COLUMNS))
-    scored = model.transform(filled)
-    return scored.withColumn(
+    scored = model.transform(filled).withColumn(
         "base_ml_score", vector_to_array("probability").getItem(1) * 100
     ).drop(*MODEL_OUTPUT)
+    return seal(scored, ["base_ml_score"])
 
 
 def is_dense() -> Column:

@@ -13,7 +13,6 @@ from shellsieve.operators.allowlist import add_allow_rule, mark_trusted
 from shellsieve.operators.features import add_features
 from shellsieve.operators.results import malicious_only, order_findings
 from shellsieve.operators.scoring import add_base_score, add_verdict
-from shellsieve.plans.barrier import seal
 from shellsieve.sources.scripts import script_entries
 from shellsieve.vocabulary import FEATURE_COLUMNS, KEYWORDS, LEVEL_SAFE, REASON_ALLOWED
 
@@ -25,7 +24,7 @@ VERDICT_COLUMNS = (
 
 def _screened(entries: DataFrame) -> DataFrame:
     single = X.single_line(F.coalesce(F.col("command"), F.lit("")))
-    return seal(add_allow_rule(entries.withColumn(CLEAN, single), CLEAN), ["allow_rule"])
+    return add_allow_rule(entries.withColumn(CLEAN, single), CLEAN)
 
 
 def score_commands(
@@ -40,9 +39,8 @@ def score_commands(
     filter comes before features and model.
     """
     suspects = _screened(entries).filter(F.col("allow_rule").isNull()).drop("allow_rule")
-    featured = seal(add_features(suspects, CLEAN, keywords), FEATURE_COLUMNS)
-    based = seal(add_base_score(featured, model, base_score), ["base_ml_score"])
-    judged = add_verdict(based)
+    featured = add_features(suspects, CLEAN, keywords)
+    judged = add_verdict(add_base_score(featured, model, base_score))
     return judged.withColumn("is_whitelisted", F.lit(False))
 
 
@@ -61,9 +59,7 @@ def _report(
     marked = screened.withColumn("is_whitelisted", passed)
     passed = F.col("is_whitelisted")
     looked_at = marked.withColumn("__text", F.when(passed, F.lit("")).otherwise(F.col(CLEAN)))
-    featured = seal(
-        add_features(looked_at, "__text", keywords).drop("__text"), FEATURE_COLUMNS
-    )
+    featured = add_features(looked_at, "__text", keywords).drop("__text")
     judged = add_verdict(add_base_score(featured, model, base_score, needed=~passed))
 
     def unless_passed(name: str) -> Column:

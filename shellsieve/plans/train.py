@@ -133,8 +133,12 @@ def forest(params: ForestParams = ForestParams()) -> RandomForestClassifier:
 
 
 def fit_forest(features: DataFrame, params: ForestParams = ForestParams()) -> PipelineModel:
-    """Fit on all rows of a feature table."""
-    weighted = add_weights(model_input(features), [params.class_weight])
+    """Fit on all rows of a feature table.
+
+    Growing a forest passes over its input several times before it caches it, so the
+    numeric columns are written out first.
+    """
+    weighted = settle(add_weights(model_input(features), [params.class_weight]))
     return Pipeline(stages=[assembler(), forest(params)]).fit(weighted)
 
 
