@@ -11,12 +11,17 @@ from shellsieve.vocabulary import SCRIPT_SOURCE
 
 
 def read_scripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path``, ``content`` and ``file_time``; line ends are folded to line feeds."""
-    files = spark.read.text(path, wholetext=True)
+    """``path``, ``content`` and ``file_time``; line ends are folded to line feeds.
+
+    Spark's file sources do not list files of length zero, so those give no row (their
+    hash is on the built-in trusted list).
+    """
+    files = spark.read.format("binaryFile").load(path)
+    text = X.drop_invalid_utf8(F.col("content").cast("string"))
     return files.select(
-        F.col("_metadata.file_path").alias("path"),
-        X.unix_line_ends(X.drop_invalid_utf8(F.col("value"))).alias("content"),
-        F.col("_metadata.file_modification_time").alias("file_time"),
+        "path",
+        X.unix_line_ends(text).alias("content"),
+        F.col("modificationTime").alias("file_time"),
     )
 
 

@@ -10,6 +10,12 @@ import __spark_entry__ as entry
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
+SAME_TYPE = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def _cell(value):
     if isinstance(value, float):
         return None if math.isnan(value) else value + 0.0
@@ -34,6 +40,8 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
     result = duck.execute(ORACLE[name])
     names = [column[0] for column in result.description]
     assert sorted(frame.columns) == sorted(names)
+    types = {column[0]: str(column[1]) for column in result.description}
+    assert {name: SAME_TYPE[kind] for name, kind in frame.dtypes} == types
     actual, expected = _rows(frame.columns, frame.collect()), _rows(names, result.fetchall())
     missing, surplus = expected - actual, actual - expected
     assert not missing and not surplus, (
