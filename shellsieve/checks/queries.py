@@ -67,9 +67,10 @@ def dataset_clean(spark, sf_dir):
 @query
 def entropy(spark, sf_dir):
     text = F.col("text")
-    return corpus.texts(spark, sf_dir).select(
-        *KEY, r6(X.char_entropy(text)).alias("entropy"),
-        r6(X.entropy_log_length(text)).alias("entropy_log_length"),
+    measured = corpus.texts(spark, sf_dir).withColumn("bits", X.char_entropy(text))
+    return measured.select(
+        *KEY, r6("bits").alias("entropy"),
+        r6(F.col("bits") * F.log1p(F.length(text))).alias("entropy_log_length"),
     )
 
 
@@ -448,13 +449,15 @@ def source_union(spark, sf_dir):
 
 # --- folds and metrics -------------------------------------------------------------
 
-def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds with the rules' own verdict as the prediction."""
-    verdicts = hunt.report_commands(corpus.commands(spark, sf_dir), base_score=base())
-    judged = verdicts.select(
-        "cmd_id", "malicious", "score", F.col("is_malicious").cast("int").alias("prediction")
-    )
-    return evaluation.add_folds(judged, "cmd_id")
+def rule_predictions(commands: DataFrame) -> DataFrame:
+    """The rules' own verdict as the prediction."""
+    verdicts = hunt.report_commands(commands, base_score=base())
+    return verdicts.withColumn("prediction", F.col("is_malicious").cast("int"))
+
+
+def rule_fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = train.labelled_folds(corpus.commands(spark, sf_dir), "cmd_id")
+    return evaluation.add_metrics(evaluation.confusion(rule_predictions(folded)))
 
 
 @query
@@ -474,20 +477,20 @@ METRICS = ("acc", "prec", "rec", "f1")
 
 @query
 def fold_metrics(spark, sf_dir):
-    metrics = evaluation.add_metrics(evaluation.confusion(rule_predictions(spark, sf_dir)))
-    return metrics.withColumns({m: r6(m) for m in METRICS})
+    return rule_fold_metrics(spark, sf_dir).withColumns({m: r6(m) for m in METRICS})
 
 
 @query
 def confusion_total(spark, sf_dir):
-    metrics = evaluation.add_metrics(evaluation.confusion(rule_predictions(spark, sf_dir)))
+    metrics = rule_fold_metrics(spark, sf_dir)
     means = {f"mean_{m}": r6(f"mean_{m}") for m in METRICS}
     return evaluation.summarise(metrics).withColumns(means)
 
 
 @query
 def f2_by_threshold(spark, sf_dir):
-    curve = evaluation.f2_by_threshold(rule_predictions(spark, sf_dir), THRESHOLDS)
+    judged = rule_predictions(corpus.commands(spark, sf_dir))
+    curve = evaluation.f2_by_threshold(judged, THRESHOLDS)
     return curve.withColumn("f2", r6("f2"))
 
 
@@ -505,6 +508,11 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.build_dataset(labelled)
 
 
+def _folded_training(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    labelled = corpus.commands(spark, sf_dir).select("cmd_id", "command", "malicious")
+    return train.build_dataset(train.labelled_folds(labelled, "cmd_id", k))
+
+
 @query
 def rf_scores(spark, sf_dir):
     """A forest trained on the labelled commands, then the scan with it."""
@@ -521,9 +529,13 @@ def rf_importance(spark, sf_dir):
 
 @query
 def rf_cross_validation(spark, sf_dir):
-    return train.cross_validate(_training(spark, sf_dir), "cmd_id", 5, SMALL_FOREST)
+    return train.cross_validate(
+        _folded_training(spark, sf_dir, 5), "cmd_id", 5, SMALL_FOREST
+    )
 
 
 @query
 def rf_grid(spark, sf_dir):
-    return train.grid_search(_training(spark, sf_dir), "cmd_id", SMALL_GRID, k=3).report
+    return train.grid_search(
+        _folded_training(spark, sf_dir, 3), "cmd_id", SMALL_GRID, k=3
+    ).report

@@ -21,6 +21,9 @@ def add_folds(
     cut into buckets instead: rows are numbered inside a (class, bucket), and the number
     of rows in the class's earlier buckets is added.  The bucket is a prefix of the sort
     key, so the numbering is the same as over the whole class.
+
+    The input is read twice, the first time for ids and labels alone.  Deal folds out
+    before adding costly columns, or from a written table.
     """
     hashed = df.withColumn(
         "__hash", F.sha2(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")), 256)

@@ -138,10 +138,21 @@ def fit_forest(features: DataFrame, params: ForestParams = ForestParams()) -> Pi
     Growing a forest passes over its input several times before it caches it, so the
     numeric columns are written out first.
     """
-    weighted = settle(add_weights(model_input(features), [params.class_weight]))
+    weighted = add_weights(settle(model_input(features)), [params.class_weight])
     return Pipeline(stages=[assembler(), forest(params)]).fit(weighted)
 
 
+def labelled_folds(
+    labelled: DataFrame, id_column: str, k: int = 5, seed: int = 42
+) -> DataFrame:
+    """Folds for labelled commands, before ``build_dataset``.
+
+    Fold numbering reads its input twice.  Dealt out here it reads ids and labels;
+    after the features it would need the features twice, or written out in between.
+    """
+    return add_folds(labelled, id_column, LABEL, k, seed)
+
+
 def training_table(
     features: DataFrame,
     id_column: str,
@@ -152,13 +163,15 @@ def training_table(
     """Model input with folds and weights, written out once.
 
     The fits that follow pass over the rows many times; without the cut each pass would
-    run the text features and the fold numbering again.
+    run the text features again.  Features that already carry a ``fold`` keep it (see
+    ``labelled_folds``); otherwise the rows are numbered here, from the written table.
     """
-    folded = add_folds(model_input(features), id_column, LABEL, k, seed)
-    weighted = add_weights(folded, weights)
-    return settle(assembler().transform(weighted).select(
+    table = settle(model_input(features))
+    if "fold" not in table.columns:
+        table = settle(add_folds(table, id_column, LABEL, k, seed))
+    return assembler().transform(add_weights(table, weights)).select(
         id_column, VECTOR, LABEL, "fold", *[weight_column(w) for w in weights]
-    ))
+    )
 
 
 def held_out_predictions(

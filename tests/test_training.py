@@ -103,6 +103,16 @@ def test_cross_validation(features):
     assert total.mean_f1 == pytest.approx(100 * sum(r.f1 for r in rows) / 3)
 
 
+def test_folds_before_or_after_the_features_are_the_same(spark, features):
+    labelled = corpus.commands(spark, "/root/testdata/sf0.001").select(
+        "cmd_id", "command", "malicious"
+    )
+    early = train.build_dataset(train.labelled_folds(labelled, "cmd_id", 3))
+    tables = [train.training_table(f, "cmd_id", 3) for f in (early, features)]
+    folds = [sorted((r.cmd_id, r.fold) for r in t.collect()) for t in tables]
+    assert folds[0] == folds[1] and len(folds[0]) == 1000
+
+
 def test_full_grid():
     grid = train.expand_grid(train.FULL_GRID)
     assert len(grid) == len(set(grid)) == 14 * 4 * 2 * 3 * 2
