@@ -1,6 +1,8 @@
 """Text functions over columns: cleaning, statistics and de-obfuscation.
 
 All of them are compositions of built-in expressions, so nothing leaves the JVM.
+Counted repetitions in patterns are possessive: Java matches greedy ones by recursion
+when characters of different width alternate, and hostile text could exhaust the stack.
 Arguments that are used more than once should be plain columns, not expressions:
 callers add them with ``withColumn`` first, so that Catalyst evaluates them once.
 """
@@ -26,10 +28,11 @@ from shellsieve.vocabulary import (
 
 # Java's Unicode \s lacks the four information separators.
 SPACE = r"[\s\x1c-\x1f]"
-NOT_SPACE = r"[^\s\x1c-\x1f]"
 # Java's Unicode \w also takes combining marks; a word character here is not one.
 WORD = r"[\p{L}\p{N}_]"
 REPLACEMENT = "�"
+#: longest text, in characters, that is taken apart in one array
+CHUNK = 65_536
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,19 +94,55 @@ def preview(text: Column) -> Column:
 
 # --- statistics --------------------------------------------------------------------
 
-def char_entropy(text: Column) -> Column:
-    """Shannon entropy in bits over the characters of ``text``; 0 for empty text.
+def _log_sum_by_sorting(text: Column) -> Column:
+    """sum(n log2 n) over the character counts n: the runs of the sorted characters.
 
-    With n_c the count of character c, entropy = log2 L - sum(n_c log2 n_c) / L.  The
-    sorted characters form one run per distinct character, and runs of one add nothing
-    to the sum.  The cost is that of the sort, whatever the alphabet.
+    Runs of one add nothing.  The cost is that of the sort, whatever the alphabet.
     """
     in_order = F.concat_ws("", F.sort_array(F.split(text, "")))
     runs = F.regexp_extract_all(in_order, F.lit(r"(?s)(.)\1++"), F.lit(0))
-    total = F.aggregate(
-        runs, F.lit(0.0), lambda sum_, run: sum_ + F.length(run) * F.log2(F.length(run))
+    return F.aggregate(
+        runs, F.lit(0.0), lambda total, run: total + F.length(run) * F.log2(F.length(run))
+    )
+
+
+def _log_sum_by_removal(text: Column) -> Column:
+    """The same without an array of all characters, for long texts.
+
+    The alphabet is gathered chunk by chunk; then every character is taken out of what
+    is left of the text, and the loss of length is its count.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
+    alphabet = F.aggregate(
+        chunks, F.array().cast("array<string>"),
+        lambda seen, chunk: F.array_union(seen, F.array_distinct(F.split(chunk, ""))),
     )
+
+    def take_out(state: Column, char: Column) -> Column:
+        def step(rest: Column) -> Column:
+            count = (
+                (F.octet_length(state["rest"]) - F.octet_length(rest)) / F.octet_length(char)
+            )
+            return F.struct(
+                rest.alias("rest"), (state["total"] + count * F.log2(count)).alias("total")
+            )
+        return bind(F.replace(state["rest"], char, F.lit("")), step)
+
+    return F.aggregate(
+        alphabet, F.struct(text.alias("rest"), F.lit(0.0).alias("total")), take_out,
+        lambda state: state["total"],
+    )
+
+
+def char_entropy(text: Column) -> Column:
+    """Shannon entropy in bits over the characters of ``text``; 0 for empty text.
+
+    With n the counts of the characters, entropy = log2 L - sum(n log2 n) / L.
+    """
     length = F.length(text)
+    total = F.when(length <= CHUNK, _log_sum_by_sorting(text)).otherwise(
+        _log_sum_by_removal(text)
+    )
     # A text of one repeated character may come out a rounding error below zero.
     return F.when(
         length > 0, F.greatest(F.log2(length) - total / length, F.lit(0.0))
@@ -115,9 +154,9 @@ def entropy_log_length(text: Column) -> Column:
 
 
 def upper_case_ratio(text: Column) -> Column:
+    others = F.regexp_replace(text, r"\p{IsUppercase}+", "")
     return F.when(
-        F.length(text) > 0,
-        F.regexp_count(text, F.lit(r"\p{IsUppercase}")) / F.length(text),
+        F.length(text) > 0, 1 - F.length(others) / F.length(text)
     ).otherwise(F.lit(0.0))
 
 
@@ -163,7 +202,7 @@ def lenient_utf8(data: Column) -> Column:
 
 def _long_enough(text: Column) -> Column:
     """More than five characters are left once the ends are stripped."""
-    return text.rlike(f"(?Us){NOT_SPACE}.{{{MIN_PAYLOAD_TEXT - 1},}}{NOT_SPACE}")
+    return F.length(strip(text)) > MIN_PAYLOAD_TEXT
 
 
 def base64_tokens(text: Column) -> Column:

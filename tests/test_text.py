@@ -57,7 +57,7 @@ def test_dataset_text(spark):
 def test_entropy_of_random_texts(spark):
     rng = random.Random(1)
     alphabet = "ab \né€漢😀Zz09\"\\"
-    texts = ["", "a", "aaaa", "😀😀é", "x" * 300_000] + [
+    texts = ["", "a", "aaaa", "😀😀é", "x" * 300_000, "ab\n😀漢" * 20_000, "é" * 65_536, "éA" * 32_769] + [
         "".join(rng.choices(alphabet, k=rng.randint(1, 300))) for _ in range(300)
     ]
 
@@ -214,9 +214,10 @@ def test_payload_feeds_the_match_text_but_not_the_statistics(spark):
 
 def test_long_texts_stay_linear(spark):
     """Whole texts of a megabyte: blanks, one letter, base64, codes, quotes."""
-    texts = [" " * 1_000_000, "a" * 1_000_000, "QUJD" * 250_000, "[char]105" * 20_000,
+    wide = base64.b64encode(("a😀" * 100_000).encode()).decode()
+    texts = [wide, "a😀" * 300_000, "$a😀é" * 100_000, "[char]1𝟎" * 5_000, " " * 1_000_000, "a" * 1_000_000, "QUJD" * 250_000, "[char]105" * 20_000,
              "'a'+" * 250_000, "$" * 1_000_000, "漢字" * 300_000, "A" * 39 + " "]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, command string")
     rows = add_features(frame.repartition(8)).orderBy("i").collect()
     assert len(rows) == len(texts)
-    assert rows[3].has_char_code == 1
+    assert [row.has_char_code for row in rows].count(1) == 2
