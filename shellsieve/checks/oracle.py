@@ -390,6 +390,15 @@ ORACLE: dict[str, str] = {
         lvl AS level, why AS reason FROM judged""",
     "verdict": f"""WITH {VERDICTS} SELECT cmd_id, clean_cmd, is_malicious, is_whitelisted, score,
         base_ml_score, level, reason, danger_density FROM verdicts""",
+    "report_view": f"""WITH {VERDICTS} SELECT v.cmd_id, CASE WHEN length(clean_cmd) > 150
+            THEN substr(clean_cmd, 1, 150) || '...' ELSE clean_cmd END AS preview,
+        level, reason, is_malicious, is_whitelisted,
+        CASE WHEN NOT is_whitelisted THEN printf('%.2f%%', base_ml_score) END AS base_score,
+        CASE WHEN NOT is_whitelisted THEN printf('%.2f%%', v.score) END AS final_score,
+        CASE WHEN NOT is_whitelisted THEN concat_ws(',', {', '.join(
+            f"CASE WHEN {n} = 1 THEN '{n}' END" for n in REPORTED_FLAGS)}) END AS active_flags,
+        CASE WHEN NOT is_whitelisted THEN CAST(j.danger_density AS DOUBLE) END AS danger_density
+        FROM verdicts v JOIN judged j ON v.cmd_id = j.cmd_id""",
     "findings_sorted": FINDINGS,
     "findings_table": f"""WITH {VERDICTS} SELECT cmd_id, timestamp, level,
         printf('%.2f%%', score) AS score, source, command FROM verdicts WHERE is_malicious""",

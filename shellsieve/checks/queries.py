@@ -12,6 +12,7 @@ from shellsieve.checks import corpus
 from shellsieve.functions import text as X
 from shellsieve.functions import times
 from shellsieve.operators import allowlist, evaluation, features, results, scoring
+from shellsieve.operators.barrier import seal
 from shellsieve.plans import hunt, train
 from shellsieve.schema import SCRIPT_BLOCK_EVENT
 from shellsieve.sources import history, registry, script_blocks, tables
@@ -105,7 +106,7 @@ def payload_expand(spark, sf_dir):
 def payload_in_texts(spark, sf_dir):
     """Base64-like runs in every given text, with the readings they give."""
     found = corpus.texts(spark, sf_dir).withColumn("tokens", X.base64_tokens(F.col("text")))
-    return found.filter(F.size("tokens") > 0).select(
+    return seal(found, ["tokens"]).filter(F.size("tokens") > 0).select(
         *KEY, F.size("tokens").alias("tokens"),
         X.hidden_payload(F.col("tokens")).alias("payload"),
     )
@@ -307,6 +308,18 @@ def verdict(spark, sf_dir):
 
 
 
+@query
+def report_view(spark, sf_dir):
+    """The analyst's view, with the value map reduced to the flag total in it."""
+    report = hunt.report_commands(corpus.commands(spark, sf_dir), base_score=base())
+    view = hunt.report_view(report)
+    return view.select(
+        "cmd_id", "preview", "level", "reason", "is_malicious", "is_whitelisted", "base_score",
+        "final_score", F.array_join("active_flags", ",").alias("active_flags"),
+        F.col("details")["danger_density"].alias("danger_density"),
+    )
+
+
 FINDING = ("cmd_id", "timestamp", "level", "score", "source", "command", "reason")
 
 

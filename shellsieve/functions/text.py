@@ -94,44 +94,40 @@ def preview(text: Column) -> Column:
 
 # --- statistics --------------------------------------------------------------------
 
-def _log_sum_by_sorting(text: Column) -> Column:
-    """sum(n log2 n) over the character counts n: the runs of the sorted characters.
-
-    Runs of one add nothing.  The cost is that of the sort, whatever the alphabet.
-    """
+def _runs(text: Column, shortest: str) -> Column:
+    """Runs of equal characters in the sorted text: one per distinct character."""
     in_order = F.concat_ws("", F.sort_array(F.split(text, "")))
-    runs = F.regexp_extract_all(in_order, F.lit(r"(?s)(.)\1++"), F.lit(0))
-    return F.aggregate(
-        runs, F.lit(0.0), lambda total, run: total + F.length(run) * F.log2(F.length(run))
-    )
+    return F.regexp_extract_all(in_order, F.lit(rf"(?s)(.)\1{shortest}"), F.lit(0))
 
 
-def _log_sum_by_removal(text: Column) -> Column:
-    """The same without an array of all characters, for long texts.
+def _log_sum(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * F.log2(n))
 
-    The alphabet is gathered chunk by chunk; then every character is taken out of what
-    is left of the text, and the loss of length is its count.
-    """
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
-    alphabet = F.aggregate(
-        chunks, F.array().cast("array<string>"),
-        lambda seen, chunk: F.array_union(seen, F.array_distinct(F.split(chunk, ""))),
-    )
 
-    def take_out(state: Column, char: Column) -> Column:
-        def step(rest: Column) -> Column:
-            count = (
-                (F.octet_length(state["rest"]) - F.octet_length(rest)) / F.octet_length(char)
-            )
-            return F.struct(
-                rest.alias("rest"), (state["total"] + count * F.log2(count)).alias("total")
-            )
-        return bind(F.replace(state["rest"], char, F.lit("")), step)
+def _log_sum_at_once(text: Column) -> Column:
+    """sum(n log2 n) over the character counts n; a count of one adds nothing."""
+    return _log_sum(F.transform(_runs(text, "++"), F.length))
 
-    return F.aggregate(
-        alphabet, F.struct(text.alias("rest"), F.lit(0.0).alias("total")), take_out,
-        lambda state: state["total"],
-    )
+
+def _log_sum_in_chunks(text: Column) -> Column:
+    """The same for long texts, without an array of all characters.
+
+    Counts are taken chunk by chunk and added up in a map of the distinct characters.
+    """
+    def count(chunk: Column) -> Column:
+        return F.map_from_entries(F.transform(
+            _runs(chunk, "*+"), lambda run: F.struct(F.substring(run, 1, 1), F.length(run))
+        ))
+
+    def add(counts: Column, chunk: Column) -> Column:
+        return F.map_zip_with(
+            counts, count(chunk),
+            lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+        )
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
+    nothing = F.create_map().cast("map<string,int>")
+    return F.aggregate(chunks, nothing, add, lambda counts: _log_sum(F.map_values(counts)))
 
 
 def char_entropy(text: Column) -> Column:
@@ -140,8 +136,8 @@ def char_entropy(text: Column) -> Column:
     With n the counts of the characters, entropy = log2 L - sum(n log2 n) / L.
     """
     length = F.length(text)
-    total = F.when(length <= CHUNK, _log_sum_by_sorting(text)).otherwise(
-        _log_sum_by_removal(text)
+    total = F.when(length <= CHUNK, _log_sum_at_once(text)).otherwise(
+        _log_sum_in_chunks(text)
     )
     # A text of one repeated character may come out a rounding error below zero.
     return F.when(

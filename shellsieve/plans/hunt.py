@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from shellsieve.functions import text as X
 from shellsieve.operators.allowlist import add_allow_rule, mark_trusted
-from shellsieve.operators.features import add_features
+from shellsieve.operators.features import active_flags, add_features, feature_details
 from shellsieve.operators.results import malicious_only, order_findings
 from shellsieve.operators.scoring import add_base_score, add_verdict
 from shellsieve.sources.scripts import script_entries
-from shellsieve.vocabulary import FEATURE_COLUMNS, KEYWORDS, LEVEL_SAFE, REASON_ALLOWED
+from shellsieve.vocabulary import (
+    FEATURE_COLUMNS,
+    KEYWORDS,
+    LEVEL_SAFE,
+    REASON_ALLOWED,
+    REPORTED_FLAGS,
+)
 
 CLEAN = "clean_cmd"
 VERDICT_COLUMNS = (
@@ -91,6 +97,23 @@ def report_commands(
     return _report(_screened(entries), allowed, model, base_score, keywords)
 
 
+def report_view(report: DataFrame, key: str = "cmd_id") -> DataFrame:
+    """What an analyst reads of a report: preview, scores as text, flags and values.
+
+    Rows that were not scored have neither scores, flags nor values.
+    """
+    scored = F.col("base_ml_score").isNotNull()
+    return report.select(
+        key,
+        X.preview(F.col(CLEAN)).alias("preview"),
+        "level", "reason", "is_malicious", "is_whitelisted",
+        F.when(scored, F.format_string("%.2f%%", F.col("base_ml_score"))).alias("base_score"),
+        F.when(scored, F.format_string("%.2f%%", F.col("score"))).alias("final_score"),
+        F.when(scored, active_flags(REPORTED_FLAGS)).alias("active_flags"),
+        F.when(scored, feature_details()).alias("details"),
+    )
+
+
 def find_malicious(
     entries: DataFrame,
     model: Transformer | None = None,

@@ -119,7 +119,7 @@ def add_weights(df: DataFrame, weights: Sequence[float | str]) -> DataFrame:
         for label, count in ((1, ones), (0, rows - ones))
     ]
     balanced = df.agg(F.array(*per_class).alias("__classes")).select(F.inline("__classes"))
-    return df.join(F.broadcast(balanced), F.col(LABEL) == F.col("__class")).drop("__class")
+    return df.join(F.broadcast(balanced), F.col(LABEL) == F.col("__class"), "left").drop("__class")
 
 
 def forest(params: ForestParams = ForestParams()) -> RandomForestClassifier:

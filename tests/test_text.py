@@ -57,7 +57,8 @@ def test_dataset_text(spark):
 def test_entropy_of_random_texts(spark):
     rng = random.Random(1)
     alphabet = "ab \né€漢😀Zz09\"\\"
-    texts = ["", "a", "aaaa", "😀😀é", "x" * 300_000, "ab\n😀漢" * 20_000, "é" * 65_536, "éA" * 32_769] + [
+    texts = ["", "a", "aaaa", "😀😀é", "x" * 300_000, "ab\n😀漢" * 20_000, "é" * 65_536, "éA" * 32_769,
+             "".join(rng.choices([chr(0x4E00 + i) for i in range(8000)], k=500_000))] + [
         "".join(rng.choices(alphabet, k=rng.randint(1, 300))) for _ in range(300)
     ]
 
