@@ -33,6 +33,13 @@ WORD = r"[\p{L}\p{N}_]"
 REPLACEMENT = "�"
 #: longest text, in characters, that is taken apart in one array
 CHUNK = 65_536
+#: longest text whose characters are counted by sorting alone
+SHORT = 512
+_LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
+#: all ASCII characters, the usually frequent ones first
+ASCII = " " + _LETTERS + _LETTERS.upper() + "".join(
+    c for c in map(chr, range(128)) if not c.isalpha() and c != " "
+)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -130,14 +137,44 @@ def _log_sum_in_chunks(text: Column) -> Column:
     return F.aggregate(chunks, nothing, add, lambda counts: _log_sum(F.map_values(counts)))
 
 
+def _log_sum_by_removal(text: Column) -> Column:
+    """The same for longer texts, which mostly hold few different characters.
+
+    Each ASCII character is taken out of what is left of the text, and the loss of
+    length is its count: at most 128 passes over a text that shrinks fast, with no
+    array of characters.  What remains is counted as above.
+    """
+    def take_out(state: Column, char: Column) -> Column:
+        def step(rest: Column) -> Column:
+            count = F.octet_length(state["rest"]) - F.octet_length(rest)
+            gain = F.when(count > 1, count * F.log2(count)).otherwise(0.0)
+            return F.struct(rest.alias("rest"), (state["total"] + gain).alias("total"))
+        removed = bind(F.replace(state["rest"], char, F.lit("")), step)
+        return F.when(state["rest"] == "", state).otherwise(removed)
+
+    def finish(state: Column) -> Column:
+        rest = state["rest"]
+        others = F.when(F.length(rest) <= CHUNK, _log_sum_at_once(rest)).otherwise(
+            _log_sum_in_chunks(rest)
+        )
+        return state["total"] + F.when(rest == "", 0.0).otherwise(others)
+
+    return F.aggregate(
+        F.split(F.lit(ASCII), ""),
+        F.struct(text.alias("rest"), F.lit(0.0).alias("total")),
+        take_out,
+        finish,
+    )
+
+
 def char_entropy(text: Column) -> Column:
     """Shannon entropy in bits over the characters of ``text``; 0 for empty text.
 
     With n the counts of the characters, entropy = log2 L - sum(n log2 n) / L.
     """
     length = F.length(text)
-    total = F.when(length <= CHUNK, _log_sum_at_once(text)).otherwise(
-        _log_sum_in_chunks(text)
+    total = F.when(length <= SHORT, _log_sum_at_once(text)).otherwise(
+        _log_sum_by_removal(text)
     )
     # A text of one repeated character may come out a rounding error below zero.
     return F.when(

@@ -24,7 +24,7 @@ def commands(spark, tmp_path_factory):
 
 STEPS = {
     "tokens": "(?<![A-Za-z0-9+/])", "payload": "unbase64(", "split literals": "regexp_replace(__full",
-    "character codes": "(?iU)\\[char\\]", "entropy": "sort_array(", "upper case": "IsUppercase",
+    "character codes": "(?iU)\\[char\\]", "entropy": "LOG1P(", "upper case": "IsUppercase",
     "single line": "(?U)[\\s\\x1c-\\x1f]+, ", "Python": "EvalPython",
 }
 
