@@ -188,9 +188,8 @@ def entropy_log_length(text: Column) -> Column:
 
 def upper_case_ratio(text: Column) -> Column:
     others = F.regexp_replace(text, r"\p{IsUppercase}+", "")
-    return F.when(
-        F.length(text) > 0, 1 - F.length(others) / F.length(text)
-    ).otherwise(F.lit(0.0))
+    length = F.length(text)
+    return F.when(length > 0, (length - F.length(others)) / length).otherwise(F.lit(0.0))
 
 
 # --- hidden payloads ---------------------------------------------------------------
