@@ -27,4 +27,48 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
 FROM split LEFT JOIN kept USING (r)
 """
 
-ORACLE: dict[str, str] = {"op4_block_anchors": BLOCK_ANCHORS}
+# Keys found in three documents or more go, except in the largest id that holds them.
+BLOOM_LINES = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS k FROM split
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), shared AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS text
+  FROM keyed LEFT JOIN shared USING (key)
+  WHERE shared.last IS NULL OR shared.last = doc_id GROUP BY r
+)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+SORTED_LISTS = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM whole WHERE vec_id % 20 = 0) q JOIN whole c
+    ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_block_anchors": BLOCK_ANCHORS,
+    "op8_bloom_lines": BLOOM_LINES,
+    "op10_sorted_lists": SORTED_LISTS,
+}
