@@ -1,7 +1,8 @@
 """Commands derived from the ``events`` table, for queries, tests and benchmarks.
 
 The given tables hold prose that fires almost no keyword.  Every event becomes one
-command instead, from one of 27 templates.  The expressions are plain SQL that Spark
+command instead, from one of 27 templates, and most of them carry the event's own type,
+properties and number, so that texts differ from row to row.  The expressions are plain SQL that Spark
 and DuckDB read alike, and the number of commands grows with the table.
 """
 
@@ -50,7 +51,13 @@ def _unmask(sql: str) -> str:
 
 _CASES = " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(TEMPLATES))
 
-COMMAND = _unmask(f"CASE event_id % {len(TEMPLATES)} {_CASES} END")
+#: templates that only count as they stand, and every eleventh command, have no tail
+_TAIL = (
+    f"CASE WHEN event_id % {len(TEMPLATES)} IN (4, 26) OR event_id % 11 = 5 THEN '' ELSE "
+    "' # ' || event_type || ' ' || props || ' ' || CAST(event_id AS VARCHAR(20)) END"
+)
+
+COMMAND = _unmask(f"CASE event_id % {len(TEMPLATES)} {_CASES} END") + " || " + _TAIL
 
 SOURCE = (
     "CASE WHEN event_id % 27 = 5 THEN 'UserAssist' WHEN event_id % 3 = 0 THEN "

@@ -29,6 +29,7 @@ from shellsieve.vocabulary import (
     REPORTED_FLAGS,
     RUNNABLE_SUFFIXES,
     SKIPPED_STORAGE,
+    STATISTICAL_COLUMNS,
     STORAGE_WORDS,
     SYSTEM_PATHS,
     TRUSTED_HASHES,
@@ -87,6 +88,8 @@ def fold_case(sql: str) -> str:
 TEXTS = f"texts AS ({corpus.TEXTS_SQL})"
 COMMANDS = f"commands AS ({corpus.COMMANDS_SQL})"
 CARRIERS = f"carriers AS ({corpus.CARRIERS_SQL})"
+KEYED_TEXTS = f"""{TEXTS}, keyed AS (
+    SELECT origin || '/' || id || '/' || part AS cmd_id, text AS command FROM texts)"""
 
 # --- payloads ----------------------------------------------------------------------
 
@@ -96,13 +99,28 @@ _PADDED = (
     "WHEN length(rtrim(t, '=')) % 4 = 3 AND t LIKE '%=' THEN rtrim(t, '=') || '=' END"
 )
 # Zero bytes are written as a dot, here and in what the queries show.
+# Both readings keep what is valid: one replace that consumes a valid unit or sequence, which
+# it keeps, or else one unit or byte, which it drops.
+_B, _T = "[0-9A-F]", "[89AB][0-9A-F]"
+_VALID_WIDE = (
+    f"regexp_replace(h, '({_B}{{2}}(?:[0-9A-CEF]{_B}|D[0-7])|{_B}{{2}}D[89AB]{_B}{{2}}D[C-F])"
+    f"|{_B}{{1,4}}', '\\1', 'g')"
+)
 _WIDE = (
-    "array_to_string(list_transform(regexp_extract_all(h, '....'), lambda u: "
-    "chr(CAST('0x' || u[3:4] || u[1:2] AS INTEGER))), '')"
+    f"array_to_string(list_transform(regexp_extract_all({_VALID_WIDE}, '..D[89AB]..D[C-F]|....'), "
+    "lambda u: CASE WHEN u = '0000' THEN '.' WHEN length(u) = 4 THEN "
+    "chr(CAST('0x' || u[3:4] || u[1:2] AS INTEGER)) ELSE "
+    "chr(65536 + (CAST('0x' || u[3:4] || u[1:2] AS INTEGER) - 55296) * 1024 "
+    "+ CAST('0x' || u[7:8] || u[5:6] AS INTEGER) - 56320) END), '')"
+)
+_VALID_NARROW = (
+    f"regexp_replace(h, '([0-7]{_B}|(?:C[2-9A-F]|D{_B}){_T}|E0[AB]{_B}{_T}|E[1-9A-CEF](?:{_T}){{2}}"
+    f"|ED[89]{_B}{_T}|F0[9AB]{_B}(?:{_T}){{2}}|F[1-3](?:{_T}){{3}}|F48{_B}(?:{_T}){{2}})|..', "
+    "'\\1', 'g')"
 )
 _NARROW = (
-    "array_to_string(list_transform(regexp_extract_all(h, '..'), lambda u: CASE WHEN u = '00' "
-    "THEN '.' ELSE chr(CAST('0x' || u AS INTEGER)) END), '')"
+    f"decode(unhex(array_to_string(list_transform(regexp_extract_all({_VALID_NARROW}, '..'), "
+    "lambda u: CASE WHEN u = '00' THEN '2E' ELSE u END), '')))"
 )
 
 
@@ -167,8 +185,8 @@ def featured(relation: str) -> str:
     density = " + ".join(FLAG_COLUMNS)
     return f"""{matched(relation)},
     simple AS (SELECT cmd_id, command, {_as_int(_simple_flags('m', 'command'))},
-        round({entropy('command')} * ln(length(command) + 1), 6) AS entropy_log_length,
-        round({upper_ratio('command')}, 6) AS upper_case_ratio FROM matched),
+        {entropy('command')} * ln(length(command) + 1) AS entropy_log_length,
+        {upper_ratio('command')} AS upper_case_ratio FROM matched),
     combined AS (SELECT *,
         has_reflection & (has_api_calls | has_char_code) AS combo_stealth_exploit,
         has_encoded & has_bypass AS combo_bypass_base64,
@@ -180,6 +198,13 @@ def featured(relation: str) -> str:
 
 FEATURES = f"{COMMANDS}, {featured('commands')}"
 
+
+def shown_features(prefix: str = "") -> str:
+    return ", ".join(
+        f"round({prefix}{c}, 6) AS {c}" if c in STATISTICAL_COLUMNS else prefix + c
+        for c in FEATURE_COLUMNS
+    )
+
 # --- allow rules -------------------------------------------------------------------
 
 
@@ -278,6 +303,36 @@ PREDICTED = f"""{VERDICTS},
         {_rate('tp', 'tp + fp')} AS prec, {_rate('tp', 'tp + fn')} AS rec,
         {_rate('2 * tp', '2 * tp + fp + fn')} AS f1 FROM cells)"""
 
+#: features whose split points are halves between whole numbers
+WHOLE_FEATURES = tuple(c for c in FEATURE_COLUMNS if c not in STATISTICAL_COLUMNS)
+
+
+def _splits(held, weights) -> str:
+    """Every split of every whole-number feature, the best one, and the shares of its leaves.
+
+    ``held`` are the folds left out in turn (-1: none).  Variance falls most where the sum
+    of S * S / W over the two sides is largest, with W the weight and S that of class 1.
+    ``leaves`` has the left-out rows (all rows for -1) with the share of their leaf.
+    """
+    return f"""{FEATURES},
+    dealt AS (SELECT cmd_id, malicious AS y, {_folds('commands', 'cmd_id')}),
+    wide AS (SELECT cmd_id, y, fold, {', '.join(WHOLE_FEATURES)} FROM features JOIN dealt USING (cmd_id)),
+    long AS (UNPIVOT wide ON {', '.join(WHOLE_FEATURES)} INTO NAME feature VALUE v),
+    runs AS (SELECT unnest({list(held)}) AS held, weight FROM (SELECT unnest({list(weights)})::DOUBLE AS weight)),
+    sides AS (SELECT held, weight, feature, v, sum(CASE WHEN y = 1 THEN weight ELSE 1.0 END) AS w,
+        sum(CASE WHEN y = 1 THEN weight ELSE 0.0 END) AS s FROM long JOIN runs ON fold <> held
+        GROUP BY held, weight, feature, v),
+    grown AS (SELECT held, weight, feature, v, sum(w) OVER part AS wl, sum(s) OVER part AS sl,
+        sum(w) OVER whole AS wt, sum(s) OVER whole AS st FROM sides
+        WINDOW part AS (PARTITION BY held, weight, feature ORDER BY v),
+            whole AS (PARTITION BY held, weight, feature)),
+    best AS (SELECT *, sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) AS gain FROM grown WHERE wt > wl
+        QUALIFY row_number() OVER (PARTITION BY held, weight ORDER BY gain DESC) = 1),
+    leaves AS (SELECT cmd_id, y, b.held, b.weight,
+        CASE WHEN l.v <= b.v THEN sl / wl ELSE (st - sl) / (wt - wl) END AS share
+        FROM long l JOIN best b ON l.feature = b.feature AND (b.held = -1 OR l.fold = b.held))"""
+
+
 _BEAUTIFY = f"""WITH coded AS (
         SELECT event_id AS cmd_id, 'if ($x) {{' || props || '; ' || ({corpus.COMMAND})
             || ' | out-null; }}; ;}}' AS code FROM events),
@@ -317,6 +372,32 @@ ORACLE: dict[str, str] = {
         THEN substr(text, 1, 150) || '...' ELSE text END AS preview FROM texts""",
     "payload_expand": f"""WITH {CARRIERS}, {payloads('carriers')}
         SELECT cmd_id, CAST(len(tokens) AS INTEGER) AS tokens, payload FROM expanded""",
+    "payload_in_texts": f"""WITH {KEYED_TEXTS}, {payloads('keyed')}
+        SELECT cmd_id, CAST(len(tokens) AS INTEGER) AS tokens, payload FROM expanded
+        WHERE len(tokens) > 0""",
+    "text_features": f"""WITH {KEYED_TEXTS}, {featured('keyed')}
+        SELECT cmd_id, {shown_features()} FROM features""",
+    "label_features": f"""WITH labelled AS (SELECT d.doc_id AS cmd_id, text AS command, toxic AS malicious
+            FROM documents d JOIN labels l ON d.doc_id = l.doc_id), {featured('labelled')},
+        folded AS (SELECT cmd_id, malicious, {_folds('labelled', 'cmd_id')})
+        SELECT f.cmd_id, {shown_features('f.')}, CAST(malicious AS INTEGER) AS malicious, fold
+        FROM features f JOIN folded USING (cmd_id)""",
+    "rf_split_scores": f"""WITH {_splits([-1], [7.0])}
+        SELECT cmd_id, round(share, 6) AS share FROM leaves""",
+    "rf_split_importance": f"""WITH {_splits([-1], [7.0])}
+        SELECT feature, CAST(100 AS DOUBLE) AS importance FROM best""",
+    "rf_split_validation": f"""WITH {_splits(range(5), [7.0])}
+        SELECT held AS fold, {_CELLS} FROM (SELECT *, y AS malicious,
+            CAST(share >= 0.5 AS INTEGER) AS prediction FROM leaves) GROUP BY held""",
+    "rf_split_grid": f"""WITH {_splits(range(5), [5.0, 7.0])},
+        cells AS (SELECT held, weight, {_CELLS} FROM (SELECT *, y AS malicious,
+            CAST(share >= 0.5 AS INTEGER) AS prediction FROM leaves) GROUP BY held, weight)
+        SELECT 'weight_' || CAST(weight AS INTEGER) AS weight,
+            round(avg({_rate('5 * tp', '5 * tp + 4 * fn + fp')}), 6) AS f2
+        FROM cells GROUP BY weight""",
+    "rf_cross_validation": f"""WITH {COMMANDS}, folded AS (SELECT malicious, {_folds('commands', 'cmd_id')})
+        SELECT fold, count(*) AS n_rows, count(*) FILTER (malicious = 1) AS positives, true AS consistent
+        FROM folded GROUP BY fold""",
     "join_literals": f"""WITH {TEXTS} SELECT origin, id, part,
         {join_literals('text')} AS joined FROM texts""",
     "char_codes": f"""WITH spelt AS (SELECT event_id AS cmd_id, array_to_string(list_transform(
@@ -342,7 +423,7 @@ ORACLE: dict[str, str] = {
     "combo_flags": f"""WITH {FEATURES} SELECT cmd_id, combo_stealth_exploit, combo_bypass_base64,
         combo_ransomware_logic, critical_ransomware_alert FROM features""",
     "danger_density": f"WITH {FEATURES} SELECT cmd_id, danger_density FROM features",
-    "feature_table": f"""WITH {FEATURES} SELECT {', '.join('f.' + c for c in FEATURE_COLUMNS)},
+    "feature_table": f"""WITH {FEATURES} SELECT {shown_features('f.')},
         c.malicious, c.command, c.cmd_id FROM features f JOIN commands c ON f.cmd_id = c.cmd_id""",
     "carrier_features": f"""WITH {CARRIERS}, {featured('carriers')}
         SELECT cmd_id, {', '.join(FLAG_COLUMNS)}, danger_density FROM features""",
@@ -397,7 +478,8 @@ ORACLE: dict[str, str] = {
         CASE WHEN NOT is_whitelisted THEN printf('%.2f%%', v.score) END AS final_score,
         CASE WHEN NOT is_whitelisted THEN concat_ws(',', {', '.join(
             f"CASE WHEN {n} = 1 THEN '{n}' END" for n in REPORTED_FLAGS)}) END AS active_flags,
-        CASE WHEN NOT is_whitelisted THEN CAST(j.danger_density AS DOUBLE) END AS danger_density
+        {', '.join(f"CASE WHEN NOT is_whitelisted THEN round(CAST(j.{n} AS DOUBLE), 4) END AS {n}"
+                   for n in DETAIL_COLUMNS)}
         FROM verdicts v JOIN judged j ON v.cmd_id = j.cmd_id""",
     "findings_sorted": FINDINGS,
     "findings_table": f"""WITH {VERDICTS} SELECT cmd_id, timestamp, level,
@@ -407,19 +489,19 @@ ORACLE: dict[str, str] = {
     "findings_by_source": FINDINGS,
     "findings_top": FINDINGS + " ORDER BY round(score, 2) DESC, cmd_id LIMIT 10",
     "history_lines": f"""SELECT 'Console_History' AS source, {strip(f"({corpus.COMMAND})")} AS command,
-        'file' AS ts_note, strftime(ts, '%d-%m-%Y %H:%M:%S') || ' (File)' AS timestamp
-        FROM events WHERE event_id % 11 <> 0 AND ({corpus.COMMAND}) <> ''""",
+        'file' AS ts_note, strftime(ts, '%d-%m-%Y %H:%M:%S') || ' (File)' AS timestamp,
+        'host' || user_id AS origin FROM events WHERE event_id % 11 <> 0 AND ({corpus.COMMAND}) <> ''""",
     "script_block_xml": f"""SELECT 'PS_Operational.evtx (EID 4104)' AS source,
         {strip(_EVENT_TEXT)} AS command, 'event' AS ts_note, CASE WHEN event_id % 5 = 0 THEN 'odd'
-        ELSE strftime(ts, '%d-%m-%Y %H:%M:%S') END AS timestamp
+        ELSE strftime(ts, '%d-%m-%Y %H:%M:%S') END AS timestamp, 'host' || user_id AS origin
         FROM events WHERE event_id % 3 <> 0""",
     "persistence_filter": f"""WITH {_REGISTRY}
         SELECT 'Persistence Trigger (' || value_name || ')' AS source, value_data AS command,
-            'key' AS ts_note, {_KEY_TIME} FROM vals
+            'key' AS ts_note, {_KEY_TIME}, hive_id AS origin FROM vals
         WHERE lower(key_path) IN ({', '.join(map(text, PERSISTENCE_KEYS))})""",
     "storage_filter": f"""WITH {_REGISTRY}
         SELECT 'Suspicious Storage (' || {_STORAGE_KEY} || chr(92) || value_name || ')' AS source,
-            value_data AS command, 'key' AS ts_note, {_KEY_TIME} FROM vals
+            value_data AS command, 'key' AS ts_note, {_KEY_TIME}, hive_id AS origin FROM vals
         WHERE lower(split_part(key_path, chr(92), 1)) = 'software'
             AND length(key_path) - length(replace(key_path, chr(92), '')) = 1
             AND {_STORAGE_KEY} NOT IN ({', '.join(map(text, SKIPPED_STORAGE))})
@@ -428,9 +510,11 @@ ORACLE: dict[str, str] = {
         WHEN 2 THEN 'weird' WHEN 3 THEN 'N/D' WHEN 5 THEN 'N/D'
         ELSE strftime(ts, '%d-%m-%Y %H:%M:%S') END AS shown FROM events""",
     "source_union": f"""WITH {COMMANDS}
-        SELECT cmd_id, source, command, 'file' AS ts_note, timestamp FROM commands
-        UNION ALL SELECT conv_id * 1000 + turn + 4611686018427387904, role, text, 'none', 'N/D'
-        FROM conversations""",
+        SELECT cmd_id, source, command, 'file' AS ts_note, timestamp, 'host' || user_id AS origin,
+            0::INTEGER AS source_no FROM commands
+        UNION ALL SELECT conv_id * 1000 + turn, role, text, 'none', 'N/D', NULL, unnest([2, 4])::INTEGER
+        FROM conversations
+        UNION ALL SELECT page_id, 'url', url, 'none', 'N/D', 'web', unnest([3, 5])::INTEGER FROM pages""",
     "stratified_folds": f"WITH {COMMANDS} SELECT cmd_id, malicious, "
                         + _folds("commands", "cmd_id"),
     "stratified_folds_of_labels": "WITH l AS (SELECT doc_id, toxic AS malicious FROM labels) "

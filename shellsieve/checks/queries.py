@@ -15,8 +15,16 @@ from shellsieve.operators import allowlist, evaluation, features, results, scori
 from shellsieve.operators.barrier import seal
 from shellsieve.plans import hunt, train
 from shellsieve.schema import SCRIPT_BLOCK_EVENT
+from shellsieve.session import settle
 from shellsieve.sources import history, registry, script_blocks, tables
-from shellsieve.vocabulary import FLAG_COLUMNS, REPORTED_FLAGS
+from shellsieve.vocabulary import (
+    DATASET_TEXT_LIMIT,
+    DETAIL_COLUMNS,
+    FEATURE_COLUMNS,
+    FLAG_COLUMNS,
+    REPORTED_FLAGS,
+    STATISTICAL_COLUMNS,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,8 +32,17 @@ QUERIES: dict[str, Query] = {}
 #: stands in for a forest where an oracle has to give the same score
 BASE_SCORE = "cmd_id % 101"
 THRESHOLDS = (10, 20, 30, 40, 50, 60, 70, 80, 90)
-SMALL_FOREST = train.ForestParams(trees=15, depth=8)
-SMALL_GRID = {"trees": (5, 10), "class_weight": (7.0, train.BALANCED)}
+#: two values in every dimension; the full grid is ``train.FULL_GRID``
+GRID = {
+    "trees": (3, 6), "class_weight": (7.0, train.BALANCED), "criterion": ("gini", "entropy"),
+    "depth": (3, 8), "min_leaf": (1, 2),
+}
+#: a forest that SQL can grow: one tree of one split over all features
+ONE_SPLIT = train.ForestParams(trees=1, depth=1, bootstrap=False, features_per_split="all")
+ONE_SPLIT_GRID = {
+    "trees": (1,), "depth": (1,), "bootstrap": (False,), "features_per_split": ("all",),
+    "class_weight": (5.0, 7.0),
+}
 
 
 def query(function: Query) -> Query:
@@ -49,6 +66,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hunt.score_commands(corpus.commands(spark, sf_dir), base_score=base())
 
 
+def keyed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every given text as a command, named by its table and place."""
+    return corpus.texts(spark, sf_dir).select(
+        F.concat_ws("/", "origin", "id", "part").alias("cmd_id"), F.col("text").alias("command")
+    )
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: r6(name) for name in STATISTICAL_COLUMNS})
+
+
 # --- text --------------------------------------------------------------------------
 
 KEY = ("origin", "id", "part")
@@ -62,7 +90,7 @@ def single_line(spark, sf_dir):
 @query
 def dataset_clean(spark, sf_dir):
     texts = corpus.texts(spark, sf_dir).withColumn("text", F.expr("chr(7) || text || chr(31)"))
-    return texts.select(*KEY, X.dataset_clean(F.col("text")).alias("clean"))
+    return texts.select(*KEY, X.dataset_clean(F.col("text"), DATASET_TEXT_LIMIT).alias("clean"))
 
 
 @query
@@ -105,10 +133,31 @@ def payload_expand(spark, sf_dir):
 @query
 def payload_in_texts(spark, sf_dir):
     """Base64-like runs in every given text, with the readings they give."""
-    found = corpus.texts(spark, sf_dir).withColumn("tokens", X.base64_tokens(F.col("text")))
+    found = keyed_texts(spark, sf_dir).withColumn("tokens", X.base64_tokens(F.col("command")))
+    payload = F.translate(X.hidden_payload(F.col("tokens")), "\0", ".")
     return seal(found, ["tokens"]).filter(F.size("tokens") > 0).select(
-        *KEY, F.size("tokens").alias("tokens"),
-        X.hidden_payload(F.col("tokens")).alias("payload"),
+        "cmd_id", F.size("tokens").alias("tokens"), payload.alias("payload")
+    )
+
+
+@query
+def text_features(spark, sf_dir):
+    """All features of every given text, whole."""
+    featured = features.add_features(keyed_texts(spark, sf_dir))
+    return rounded(featured.select("cmd_id", *FEATURE_COLUMNS))
+
+
+@query
+def label_features(spark, sf_dir):
+    """A labelled table of real texts: features, label and fold of the labelled documents."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("malicious"))
+    labelled = read(spark, sf_dir, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").alias("cmd_id"), F.col("text").alias("command"), "malicious"
+    )
+    table = settle(train.model_input(train.build_dataset(labelled)))
+    whole = [F.col(c).cast("int").alias(c) for c in FEATURE_COLUMNS if c not in STATISTICAL_COLUMNS]
+    return rounded(evaluation.add_folds(table, "cmd_id")).select(
+        "cmd_id", *STATISTICAL_COLUMNS, *whole, "malicious", "fold"
     )
 
 
@@ -252,7 +301,7 @@ def hash_allowlist(spark, sf_dir):
     """Pages checked against the hashes of the English ones."""
     pages = read(spark, sf_dir, "pages")
     approved = pages.filter(F.col("url").contains("/en/")).select(F.sha2("html", 256).alias("sha256"))
-    marked = allowlist.mark_trusted(pages, "html", approved, script_id="page_id")
+    marked = allowlist.mark_trusted(pages, "html", approved)
     return marked.select("page_id", "sha256", "is_trusted", "trust_reason")
 
 
@@ -262,7 +311,7 @@ def hash_allowlist_shuffled(spark, sf_dir):
     commands = corpus.commands(spark, sf_dir)
     approved = commands.filter("malicious = 0").select(F.sha2("command", 256).alias("sha256"))
     marked = allowlist.mark_trusted(
-        commands, "command", approved, script_id="cmd_id", broadcast_rows=0
+        commands, "command", approved, broadcast_rows=0
     )
     return marked.select("cmd_id", "sha256", "is_trusted", "trust_reason")
 
@@ -310,13 +359,13 @@ def verdict(spark, sf_dir):
 
 @query
 def report_view(spark, sf_dir):
-    """The analyst's view, with the value map reduced to the flag total in it."""
+    """The analyst's view, with every entry of the value map as a column."""
     report = hunt.report_commands(corpus.commands(spark, sf_dir), base_score=base())
     view = hunt.report_view(report)
     return view.select(
         "cmd_id", "preview", "level", "reason", "is_malicious", "is_whitelisted", "base_score",
         "final_score", F.array_join("active_flags", ",").alias("active_flags"),
-        F.col("details")["danger_density"].alias("danger_density"),
+        *[F.col("details")[name].alias(name) for name in DETAIL_COLUMNS],
     )
 
 
@@ -330,8 +379,9 @@ def findings_sorted(spark, sf_dir):
 
 @query
 def findings_table(spark, sf_dir):
-    found = results.malicious_only(scored(spark, sf_dir))
-    return results.order_findings(results.display_columns(found), "score")
+    return results.display_columns(
+        hunt.find_malicious(corpus.commands(spark, sf_dir), base_score=base())
+    )
 
 
 @query
@@ -366,6 +416,7 @@ def history_lines(spark, sf_dir):
             f"({corpus.COMMAND}) || chr(12) || ' ' END"
         ).alias("value"),
         F.col("ts").cast("timestamp").alias("file_time"),
+        F.format_string("host%d", "user_id").alias("origin"),
     )
     return history.history_entries(lines).drop("cmd_id", "event_ts")
 
@@ -383,10 +434,11 @@ def script_block_xml(spark, sf_dir):
     )
     events = read(spark, sf_dir, "events")
     record = F.format_string(
-        "<Event><System><EventID>%s</EventID><TimeCreated SystemTime=\"%s\"/></System>"
+        "<Event><System><EventID>%s</EventID><TimeCreated SystemTime=\"%s\"/>"
+        "<Computer>host%d</Computer></System>"
         "<EventData><Data Name=\"Path\">p</Data><Data Name=\"ScriptBlockText\">%s\n#%d</Data>"
         "</EventData></Event>",
-        F.when(F.col("event_id") % 3 == 0, "4103").otherwise("4104"), stamp, escaped,
+        F.when(F.col("event_id") % 3 == 0, "4103").otherwise("4104"), stamp, F.col("user_id"), escaped,
         F.col("event_id"),
     )
     options = {"rowTag": "Event", "ignoreSurroundingSpaces": "false"}
@@ -450,14 +502,21 @@ def source_union(spark, sf_dir):
     """Commands by source, registry entries and the texts of conversations, united."""
     commands = corpus.commands(spark, sf_dir).select(
         "cmd_id", "source", "command", F.col("ts").cast("timestamp").alias("event_ts"),
-        F.lit("file").alias("ts_note"), "timestamp",
+        F.lit("file").alias("ts_note"), "timestamp", F.format_string("host%d", "user_id").alias("origin"),
     )
     talks = read(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("cmd_id"), F.col("role").alias("source"),
         F.col("text").alias("command"), F.lit(None).cast("timestamp").alias("event_ts"),
-        F.lit("none").alias("ts_note"), F.lit("N/D").alias("timestamp"),
+        F.lit("none").alias("ts_note"), F.lit("N/D").alias("timestamp"), F.lit(None).cast("string").alias("origin"),
     )
-    return tables.combine_sources(commands, None, talks).drop("event_ts")
+    pages = read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("cmd_id"), F.lit("url").alias("source"), F.col("url").alias("command"),
+        F.lit(None).cast("timestamp").alias("event_ts"), F.lit("none").alias("ts_note"),
+        F.lit("N/D").alias("timestamp"), F.lit("web").alias("origin"),
+    )
+    # More than four sources, one of them not acquired, one given twice.
+    united = tables.combine_sources(commands, None, talks, pages, talks, pages)
+    return united.drop("event_ts")
 
 
 # --- folds and metrics -------------------------------------------------------------
@@ -469,8 +528,10 @@ def rule_predictions(commands: DataFrame) -> DataFrame:
 
 
 def rule_fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = train.labelled_folds(corpus.commands(spark, sf_dir), "cmd_id")
-    return evaluation.add_metrics(evaluation.confusion(rule_predictions(folded)))
+    # Numbers alone go through the numbering of the folds, from a written table.
+    judged = rule_predictions(corpus.commands(spark, sf_dir)).select("cmd_id", "malicious", "prediction")
+    folded = evaluation.add_folds(settle(judged), "cmd_id")
+    return evaluation.add_metrics(evaluation.confusion(folded))
 
 
 @query
@@ -514,22 +575,22 @@ def class_weights(spark, sf_dir):
     return weighted.withColumn("weight_balanced", r6("weight_balanced"))
 
 
-# --- forest: no oracle, checked by properties --------------------------------------
+# --- forest ------------------------------------------------------------------------
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = corpus.commands(spark, sf_dir).select("cmd_id", "command", "malicious")
     return train.build_dataset(labelled)
 
 
-def _folded_training(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    labelled = corpus.commands(spark, sf_dir).select("cmd_id", "command", "malicious")
-    return train.build_dataset(train.labelled_folds(labelled, "cmd_id", k))
+def _whole_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows whose features are whole numbers: SQL can list all their splits."""
+    return _training(spark, sf_dir).withColumns({c: F.lit(0.0) for c in STATISTICAL_COLUMNS})
 
 
 @query
 def rf_scores(spark, sf_dir):
-    """A forest trained on the labelled commands, then the scan with it."""
-    model = train.fit_forest(_training(spark, sf_dir), SMALL_FOREST)
+    """The final forest trained on the labelled commands, then the scan with it."""
+    model = train.fit_forest(_training(spark, sf_dir))
     return hunt.find_malicious(corpus.commands(spark, sf_dir), model).select(
         *FINDING, "base_ml_score"
     )
@@ -537,18 +598,47 @@ def rf_scores(spark, sf_dir):
 
 @query
 def rf_importance(spark, sf_dir):
-    return train.top_features(spark, train.fit_forest(_training(spark, sf_dir), SMALL_FOREST))
+    return train.top_features(spark, train.fit_forest(_training(spark, sf_dir)))
 
 
 @query
 def rf_cross_validation(spark, sf_dir):
-    return train.cross_validate(
-        _folded_training(spark, sf_dir, 5), "cmd_id", 5, SMALL_FOREST
+    """The final settings; what SQL can say of any forest: rows, positives, sound metrics."""
+    c = F.col
+    total, hits = c("tn") + c("fp") + c("fn") + c("tp"), c("tp") + c("tn")
+    f1 = F.when(c("tp") > 0, 2 * c("tp") / (2 * c("tp") + c("fp") + c("fn"))).otherwise(0.0)
+    metrics = train.cross_validate(_training(spark, sf_dir), "cmd_id")
+    sound = (F.abs(c("acc") - hits / total) < 1e-9) & (F.abs(c("f1") - f1) < 1e-9)
+    return metrics.select(
+        "fold", total.alias("n_rows"), (c("fn") + c("tp")).alias("positives"), sound.alias("consistent")
     )
 
 
 @query
 def rf_grid(spark, sf_dir):
-    return train.grid_search(
-        _folded_training(spark, sf_dir, 3), "cmd_id", SMALL_GRID, k=3
-    ).report
+    return train.grid_search(_training(spark, sf_dir), "cmd_id", GRID).report
+
+
+@query
+def rf_split_scores(spark, sf_dir):
+    table = _whole_numbers(spark, sf_dir)
+    model = train.fit_forest(table, ONE_SPLIT)
+    return model.transform(train.model_input(table)).select("cmd_id", r6("leaf_share").alias("share"))
+
+
+@query
+def rf_split_importance(spark, sf_dir):
+    model = train.fit_forest(_whole_numbers(spark, sf_dir), ONE_SPLIT)
+    return train.top_features(spark, model).filter("importance > 0")
+
+
+@query
+def rf_split_validation(spark, sf_dir):
+    metrics = train.cross_validate(_whole_numbers(spark, sf_dir), "cmd_id", 5, ONE_SPLIT)
+    return metrics.select("fold", "tn", "fp", "fn", "tp")
+
+
+@query
+def rf_split_grid(spark, sf_dir):
+    report = train.grid_search(_whole_numbers(spark, sf_dir), "cmd_id", ONE_SPLIT_GRID).report
+    return report.select(F.col("params")["weightCol"].alias("weight"), r6("f2").alias("f2"))

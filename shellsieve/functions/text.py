@@ -1,6 +1,6 @@
 """Text functions over columns: cleaning, statistics and de-obfuscation.
 
-All of them are compositions of built-in expressions, so nothing leaves the JVM.
+All but the entropy are compositions of built-in expressions and stay in the JVM.
 Counted repetitions in patterns are possessive: Java matches greedy ones by recursion
 when characters of different width alternate, and hostile text could exhaust the stack.
 Arguments that are used more than once should be plain columns, not expressions:
@@ -13,12 +13,14 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shellsieve.vocabulary import (
     CHAR_CODE_MARK,
-    DATASET_TEXT_LIMIT,
     DECIMAL_DIGITS,
     DECIMAL_VALUES,
     MIN_PAYLOAD_TEXT,
@@ -31,15 +33,6 @@ SPACE = r"[\s\x1c-\x1f]"
 # Java's Unicode \w also takes combining marks; a word character here is not one.
 WORD = r"[\p{L}\p{N}_]"
 REPLACEMENT = "�"
-#: longest text, in characters, that is taken apart in one array
-CHUNK = 65_536
-#: longest text whose characters are counted by sorting alone
-SHORT = 512
-_LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
-#: all ASCII characters, the usually frequent ones first
-ASCII = " " + _LETTERS + _LETTERS.upper() + "".join(
-    c for c in map(chr, range(128)) if not c.isalpha() and c != " "
-)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,12 +55,16 @@ def single_line(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
-def dataset_clean(text: Column) -> Column:
-    """Drop control characters other than tab and line ends, keep 32,000 characters."""
+def dataset_clean(text: Column, limit: int | None = None) -> Column:
+    """Drop control characters other than tab and line ends.
+
+    ``limit`` cuts the text to that many characters, as a spreadsheet cell does
+    (``DATASET_TEXT_LIMIT``); without it the text stays whole.
+    """
     kept = F.regexp_replace(
         F.coalesce(text, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]+", ""
     )
-    return F.substring(kept, 1, DATASET_TEXT_LIMIT)
+    return kept if limit is None else F.substring(kept, 1, limit)
 
 
 def unix_line_ends(text: Column) -> Column:
@@ -101,85 +98,29 @@ def preview(text: Column) -> Column:
 
 # --- statistics --------------------------------------------------------------------
 
-def _runs(text: Column, shortest: str) -> Column:
-    """Runs of equal characters in the sorted text: one per distinct character."""
-    in_order = F.concat_ws("", F.sort_array(F.split(text, "")))
-    return F.regexp_extract_all(in_order, F.lit(rf"(?s)(.)\1{shortest}"), F.lit(0))
-
-
-def _log_sum(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * F.log2(n))
-
-
-def _log_sum_at_once(text: Column) -> Column:
-    """sum(n log2 n) over the character counts n; a count of one adds nothing."""
-    return _log_sum(F.transform(_runs(text, "++"), F.length))
-
-
-def _log_sum_in_chunks(text: Column) -> Column:
-    """The same for long texts, without an array of all characters.
-
-    Counts are taken chunk by chunk and added up in a map of the distinct characters.
-    """
-    def count(chunk: Column) -> Column:
-        return F.map_from_entries(F.transform(
-            _runs(chunk, "*+"), lambda run: F.struct(F.substring(run, 1, 1), F.length(run))
-        ))
-
-    def add(counts: Column, chunk: Column) -> Column:
-        return F.map_zip_with(
-            counts, count(chunk),
-            lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-        )
-
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
-    nothing = F.create_map().cast("map<string,int>")
-    return F.aggregate(chunks, nothing, add, lambda counts: _log_sum(F.map_values(counts)))
-
-
-def _log_sum_by_removal(text: Column) -> Column:
-    """The same for longer texts, which mostly hold few different characters.
-
-    Each ASCII character is taken out of what is left of the text, and the loss of
-    length is its count: at most 128 passes over a text that shrinks fast, with no
-    array of characters.  What remains is counted as above.
-    """
-    def take_out(state: Column, char: Column) -> Column:
-        def step(rest: Column) -> Column:
-            count = F.octet_length(state["rest"]) - F.octet_length(rest)
-            gain = F.when(count > 1, count * F.log2(count)).otherwise(0.0)
-            return F.struct(rest.alias("rest"), (state["total"] + gain).alias("total"))
-        removed = bind(F.replace(state["rest"], char, F.lit("")), step)
-        return F.when(state["rest"] == "", state).otherwise(removed)
-
-    def finish(state: Column) -> Column:
-        rest = state["rest"]
-        others = F.when(F.length(rest) <= CHUNK, _log_sum_at_once(rest)).otherwise(
-            _log_sum_in_chunks(rest)
-        )
-        return state["total"] + F.when(rest == "", 0.0).otherwise(others)
-
-    return F.aggregate(
-        F.split(F.lit(ASCII), ""),
-        F.struct(text.alias("rest"), F.lit(0.0).alias("total")),
-        take_out,
-        finish,
-    )
-
-
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy in bits over the characters of ``text``; 0 for empty text.
+    """Shannon entropy in bits over the characters of ``text``; 0 for empty and null text.
 
-    With n the counts of the characters, entropy = log2 L - sum(n log2 n) / L.
+    Counts need every character once.  Built-in expressions would need an array of all
+    characters or a pass per distinct one, so this is the one step that runs on Arrow
+    batches, with the code points of a text as one numpy array: one route for all lengths.
     """
-    length = F.length(text)
-    total = F.when(length <= SHORT, _log_sum_at_once(text)).otherwise(
-        _log_sum_by_removal(text)
-    )
-    # A text of one repeated character may come out a rounding error below zero.
-    return F.when(
-        length > 0, F.greatest(F.log2(length) - total / length, F.lit(0.0))
-    ).otherwise(F.lit(0.0))
+    # An inner function travels to the workers by value: they need numpy, not this package.
+    @F.pandas_udf(T.DoubleType())
+    def entropy(texts: pd.Series) -> pd.Series:
+        bits = np.zeros(len(texts))
+        for i, value in enumerate(texts):
+            if value:
+                points = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+                low = points < 256
+                counts = np.bincount(points[low], minlength=256)
+                if not low.all():
+                    counts = np.append(counts, np.unique(points[~low], return_counts=True)[1])
+                share = counts[counts > 0] / len(points)
+                bits[i] = max(0.0, -(share * np.log2(share)).sum())
+        return pd.Series(bits)
+
+    return entropy(text)
 
 
 def entropy_log_length(text: Column) -> Column:

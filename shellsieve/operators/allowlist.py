@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shellsieve.functions import text as X
 from shellsieve.operators.barrier import seal
+from shellsieve.session import settle
 from shellsieve.vocabulary import (
     BUILT_IN_COMMANDS,
     EVASION_WORDS,
@@ -22,8 +23,6 @@ from shellsieve.vocabulary import (
 
 #: a hash list of up to this many rows is broadcast (about 100 bytes each)
 BROADCAST_HASHES = 200_000
-#: copies of a larger list, so that one very frequent script spreads over as many tasks
-HASH_SALTS = 32
 
 
 def allow_text(text: Column) -> Column:
@@ -68,37 +67,28 @@ def mark_trusted(
     scripts: DataFrame,
     content: str = "content",
     trusted: DataFrame | None = None,
-    script_id: str = "path",
     broadcast_rows: int = BROADCAST_HASHES,
 ) -> DataFrame:
     """Add ``sha256``, ``is_trusted`` and ``trust_reason`` to whole scripts.
 
     Without ``trusted`` (one column, ``sha256``) the built-in list is used.  A list is
-    broadcast only when a bounded count shows it is small.  Beyond that the join
-    shuffles: the list is copied under every salt and the scripts are spread over the
-    salts by ``script_id``, so that a script found on a third of all hosts does not end in one task.
+    written out once and broadcast only if a bounded count shows that it is small.  Beyond
+    that both sides shuffle by hash; adaptive execution splits the partition of a script
+    that is found on a third of all hosts, as this is the left side of a left join.
     """
     hashed = scripts.withColumn("sha256", X.sha256_hex(F.col(content)))
     if trusted is None:
         marked = hashed.withColumn("is_trusted", F.col("sha256").isin(*TRUSTED_HASHES))
     else:
-        listed = trusted.select(F.col("sha256").alias("__listed")).distinct()
+        listed = settle(trusted.select(F.col("sha256").alias("__listed")).distinct())
         if listed.limit(broadcast_rows + 1).count() <= broadcast_rows:
             joined = hashed.join(
                 F.broadcast(listed), F.col("sha256") == F.col("__listed"), "left"
             )
         else:
-            salted = listed.withColumn(
-                "__copy", F.explode(F.sequence(F.lit(0), F.lit(HASH_SALTS - 1)))
-            )
-            spread = hashed.withColumn(
-                "__salt", F.pmod(F.xxhash64(script_id), F.lit(HASH_SALTS)).cast("int")
+            joined = hashed.join(
+                listed.hint("merge"), F.col("sha256") == F.col("__listed"), "left"
             )
-            joined = spread.join(
-                salted,
-                (F.col("sha256") == F.col("__listed")) & (F.col("__salt") == F.col("__copy")),
-                "left",
-            ).drop("__salt", "__copy")
         marked = joined.withColumn("is_trusted", F.col("__listed").isNotNull()).drop("__listed")
     reason = F.format_string(REASON_TRUSTED, F.substring("sha256", 1, 8))
     return marked.withColumn("trust_reason", F.when(F.col("is_trusted"), reason).otherwise(""))

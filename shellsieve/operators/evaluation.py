@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: hex digits of the hash that name a bucket: 65,536 buckets per class
 BUCKET_DIGITS = 4
+#: what a null id is hashed as
+NULL_ID = "null"
 
 
 def add_folds(
@@ -22,11 +24,13 @@ def add_folds(
     of rows in the class's earlier buckets is added.  The bucket is a prefix of the sort
     key, so the numbering is the same as over the whole class.
 
-    The input is read twice, the first time for ids and labels alone.  Deal folds out
-    before adding costly columns, or from a written table.
+    The input is read twice, the first time for ids and labels alone, and all its columns
+    go through the window's exchange.  Give it narrow rows: ids and labels, or the numbers
+    of a written table.  A null id is hashed as a fixed text; null labels are a class.
     """
     hashed = df.withColumn(
-        "__hash", F.sha2(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")), 256)
+        "__hash", F.sha2(F.concat(
+            F.coalesce(F.col(id_column).cast("string"), F.lit(NULL_ID)), F.lit(f":{seed}")), 256)
     ).withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
     # One row per class and bucket at most, whatever the size of the data.
     counts = hashed.groupBy(F.col(label).alias("__label"), F.col("__bucket").alias("__b")).agg(

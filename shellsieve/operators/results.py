@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 
 from shellsieve.functions.times import shown_time
 
-#: rows that tie keep the order they were read in
+#: rows that tie keep the order they were read in; stored streams have no such number
 TIE_BREAK = "cmd_id"
+STREAM_TIE_BREAK = ("origin", "timestamp", "source", "command")
+
+
+def tie_break(df: DataFrame) -> list[str]:
+    if TIE_BREAK not in df.columns:
+        return list(STREAM_TIE_BREAK)
+    return [c for c in ("source_no", TIE_BREAK) if c in df.columns]
+
+
+def shown_percent(score: Column) -> Column:
+    """Two digits; an exact half goes to the even digit, as the display rule has it."""
+    return F.format_string("%.2f%%", F.bround(score, 2))
 
 
 def malicious_only(df: DataFrame) -> DataFrame:
@@ -16,10 +28,11 @@ def malicious_only(df: DataFrame) -> DataFrame:
 
 
 def display_columns(df: DataFrame) -> DataFrame:
+    """Order first, show last: the shown score is text."""
     return df.select(
-        TIE_BREAK, "timestamp", "level",
-        F.format_string("%.2f%%", F.col("score")).alias("score"),
-        "source", "command",
+        *([TIE_BREAK] if TIE_BREAK in df.columns else []), "timestamp", "level",
+        shown_percent(F.col("score")).alias("score"), "source", "command",
+        *(["origin"] if "origin" in df.columns else []),
     )
 
 
@@ -28,7 +41,7 @@ def _score_key(df: DataFrame) -> Column:
     if dict(df.dtypes)["score"] == "string":
         number = F.replace(F.col("score"), F.lit("%"), F.lit("")).try_cast("double")
         return F.coalesce(number, F.lit(0.0))
-    return F.coalesce(F.round(F.col("score"), 2), F.lit(0.0))
+    return F.coalesce(F.bround(F.col("score"), 2), F.lit(0.0))
 
 
 def order_findings(df: DataFrame, column: str = "score", descending: bool = True) -> DataFrame:
@@ -47,7 +60,7 @@ def order_findings(df: DataFrame, column: str = "score", descending: bool = True
     else:
         key = F.lower(F.col(column).cast("string"))
         ordered = key.desc() if descending else key.asc()
-    return df.orderBy(ordered, F.col(TIE_BREAK).asc())
+    return df.orderBy(ordered, *[F.col(c).asc() for c in tie_break(df)])
 
 
 def top(df: DataFrame, key: str, n: int = 10) -> DataFrame:

@@ -29,7 +29,9 @@ from shellsieve.vocabulary import (
 )
 
 VECTOR = "features_vector"
-MODEL_OUTPUT = (VECTOR, "rawPrediction", "probability", "prediction")
+#: mean share of class 1 in the leaves a row falls into
+LEAF_SHARE = "leaf_share"
+MODEL_OUTPUT = (VECTOR, LEAF_SHARE, "rawPrediction", "probability", "prediction")
 
 
 def assembler() -> VectorAssembler:
@@ -55,9 +57,12 @@ def add_base_score(
         raised = missing if needed is None else F.when(needed, missing)
         return df.withColumn("base_ml_score", raised.cast("double"))
     filled = df.fillna(0, subset=list(FEATURE_COLUMNS))
-    scored = model.transform(filled).withColumn(
-        "base_ml_score", vector_to_array("probability").getItem(1) * 100
-    ).drop(*MODEL_OUTPUT)
+    judged = model.transform(filled)
+    share = (
+        F.col(LEAF_SHARE) if LEAF_SHARE in judged.columns
+        else vector_to_array("probability").getItem(1)
+    )
+    scored = judged.withColumn("base_ml_score", share * 100).drop(*MODEL_OUTPUT)
     return seal(scored, ["base_ml_score"])
 
 

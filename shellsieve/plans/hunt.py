@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shellsieve.functions import text as X
 from shellsieve.operators.allowlist import add_allow_rule, mark_trusted
 from shellsieve.operators.features import active_flags, add_features, feature_details
-from shellsieve.operators.results import malicious_only, order_findings
+from shellsieve.operators.results import malicious_only, order_findings, shown_percent, tie_break
 from shellsieve.operators.scoring import add_base_score, add_verdict
 from shellsieve.sources.scripts import script_entries
 from shellsieve.vocabulary import (
@@ -107,8 +107,8 @@ def report_view(report: DataFrame, key: str = "cmd_id") -> DataFrame:
         key,
         X.preview(F.col(CLEAN)).alias("preview"),
         "level", "reason", "is_malicious", "is_whitelisted",
-        F.when(scored, F.format_string("%.2f%%", F.col("base_ml_score"))).alias("base_score"),
-        F.when(scored, F.format_string("%.2f%%", F.col("score"))).alias("final_score"),
+        F.when(scored, shown_percent(F.col("base_ml_score"))).alias("base_score"),
+        F.when(scored, shown_percent(F.col("score"))).alias("final_score"),
         F.when(scored, active_flags(REPORTED_FLAGS)).alias("active_flags"),
         F.when(scored, feature_details()).alias("details"),
     )
@@ -130,7 +130,7 @@ def find_malicious(
     """
     verdicts = score_commands(entries, model, base_score, keywords)
     findings = malicious_only(verdicts).select(*entries.columns, *VERDICT_COLUMNS)
-    return order_findings(findings.repartition("cmd_id"), order_by, descending)
+    return order_findings(findings.repartition(*tie_break(findings)), order_by, descending)
 
 
 def check_scripts(

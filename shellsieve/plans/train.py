@@ -12,8 +12,10 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.param import Param
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from shellsieve.functions.text import dataset_clean, single_line
 from shellsieve.operators.evaluation import add_folds, add_metrics, confusion, summarise
 from shellsieve.operators.features import add_features
 from shellsieve.operators.results import top
-from shellsieve.operators.scoring import VECTOR, assembler
-from shellsieve.session import settle
+from shellsieve.operators.scoring import LEAF_SHARE, VECTOR, assembler
+from shellsieve.session import release, settle
 from shellsieve.vocabulary import FEATURE_COLUMNS, KEYWORDS
 
 LABEL = "malicious"
@@ -31,7 +33,13 @@ BALANCED = "balanced"
 
 @dataclass(frozen=True)
 class ForestParams:
-    """Settings of the forest; the defaults are those of the final model.
+    """Settings of the forest; the defaults are those of the final model but for the criterion.
+
+    ``criterion="gini"`` grows trees on the 0/1 label by variance, which is half of Gini's
+    measure: a leaf's value is its weighted share of class 1 and leaves that differ in it
+    stay apart, so the forest's probability is the mean share of the trees as grown.
+    ``"entropy"`` uses Spark's classifier, which merges sibling leaves that predict the same
+    class and so blurs probabilities; Spark has no unmerged entropy.
 
     ``class_weight`` is the weight of class 1 (class 0 weighs 1), or ``"balanced"``.
     Spark has no smallest node size for a split, and 4 of the 23 features are tried
@@ -40,7 +48,7 @@ class ForestParams:
 
     trees: int = 55
     depth: int = 30
-    criterion: str = "entropy"
+    criterion: str = "gini"
     min_leaf: int = 1
     min_gain: float = 0.0
     features_per_split: str = "4"
@@ -71,8 +79,8 @@ def build_dataset(
     """Feature table of labelled commands: features, ``malicious``, ``command``.
 
     ``prepare="scan"`` cleans the text as a scan does (one line) instead of as the
-    training table does (control characters out, 32,000 characters).  Columns other
-    than the command and its label, such as an id, are kept at the end.
+    training table does (control characters out).  Texts stay whole either way.  Columns
+    other than the command and its label, such as an id, are kept at the end.
     """
     clean = {"dataset": dataset_clean, "scan": single_line}[prepare]
     others = [c for c in labelled.columns if c not in (LABEL, "command")]
@@ -122,35 +130,52 @@ def add_weights(df: DataFrame, weights: Sequence[float | str]) -> DataFrame:
     return df.join(F.broadcast(balanced), F.col(LABEL) == F.col("__class"), "left").drop("__class")
 
 
-def forest(params: ForestParams = ForestParams()) -> RandomForestClassifier:
-    return RandomForestClassifier(
+def forest(params: ForestParams = ForestParams()) -> RandomForestRegressor | RandomForestClassifier:
+    """The tree grower alone; see :func:`forest_pipeline` for what is fitted and stored."""
+    shared = dict(
         featuresCol=VECTOR, labelCol=LABEL, weightCol=weight_column(params.class_weight),
-        numTrees=params.trees, maxDepth=params.depth, impurity=params.criterion,
+        numTrees=params.trees, maxDepth=params.depth,
         minInstancesPerNode=params.min_leaf, minInfoGain=params.min_gain,
         featureSubsetStrategy=params.features_per_split, bootstrap=params.bootstrap,
         maxBins=params.bins, seed=params.seed, maxMemoryInMB=params.node_memory_mb,
     )
+    if params.criterion == "gini":
+        return RandomForestRegressor(predictionCol=LEAF_SHARE, impurity="variance", **shared)
+    return RandomForestClassifier(impurity=params.criterion, **shared)
+
+
+def forest_pipeline(params: ForestParams = ForestParams()) -> Pipeline:
+    """Assembler, trees and, for leaf shares, the class at one half: what a scan can load."""
+    grower = forest(params)
+    stages = [assembler(), grower]
+    if isinstance(grower, RandomForestRegressor):
+        half = [float("-inf"), 0.5, float("inf")]
+        stages.append(Bucketizer(splits=half, inputCol=LEAF_SHARE, outputCol="prediction"))
+    return Pipeline(stages=stages)
 
 
 def fit_forest(features: DataFrame, params: ForestParams = ForestParams()) -> PipelineModel:
     """Fit on all rows of a feature table.
 
     Growing a forest passes over its input several times before it caches it, so the
-    numeric columns are written out first.
+    numeric columns are written out first, and deleted when the model is there.
     """
-    weighted = add_weights(settle(model_input(features)), [params.class_weight])
-    return Pipeline(stages=[assembler(), forest(params)]).fit(weighted)
+    table = settle(model_input(features))
+    try:
+        return forest_pipeline(params).fit(add_weights(table, [params.class_weight]))
+    finally:
+        release(table)
 
 
 def labelled_folds(
     labelled: DataFrame, id_column: str, k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Folds for labelled commands, before ``build_dataset``.
+    """``id_column``, label and fold of labelled commands; texts are not read.
 
-    Fold numbering reads its input twice.  Dealt out here it reads ids and labels;
-    after the features it would need the features twice, or written out in between.
+    Store it, or join it to what needs a fold.  ``cross_validate`` and ``grid_search`` deal
+    their own folds from the stored feature table, over numbers alone.
     """
-    return add_folds(labelled, id_column, LABEL, k, seed)
+    return add_folds(labelled.select(id_column, LABEL), id_column, LABEL, k, seed)
 
 
 def training_table(
@@ -159,19 +184,22 @@ def training_table(
     k: int = 5,
     seed: int = 42,
     weights: Sequence[float | str] = (7.0,),
-) -> DataFrame:
-    """Model input with folds and weights, written out once.
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Model input with folds and weights, and the written tables it reads.
 
     The fits that follow pass over the rows many times; without the cut each pass would
-    run the text features again.  Features that already carry a ``fold`` keep it (see
-    ``labelled_folds``); otherwise the rows are numbered here, from the written table.
+    run the text features again.  Features that already carry a ``fold`` keep it;
+    otherwise the rows are numbered here, from the written numbers.
     """
-    table = settle(model_input(features))
-    if "fold" not in table.columns:
-        table = settle(add_folds(table, id_column, LABEL, k, seed))
-    return assembler().transform(add_weights(table, weights)).select(
-        id_column, VECTOR, LABEL, "fold", *[weight_column(w) for w in weights]
+    if id_column not in features.columns:
+        raise ValueError(f"the feature table has no column {id_column!r} to deal folds by")
+    tables = [settle(model_input(features))]
+    if "fold" not in features.columns:
+        tables.append(settle(add_folds(tables[0], id_column, LABEL, k, seed)))
+    table = add_weights(tables[-1], weights).select(
+        id_column, *FEATURE_COLUMNS, LABEL, "fold", *[weight_column(w) for w in weights]
     )
+    return table, tables
 
 
 def held_out_predictions(
@@ -179,7 +207,7 @@ def held_out_predictions(
 ) -> DataFrame:
     """Every row with the prediction of the forest that did not see its fold."""
     def one_fold(fold: int) -> DataFrame:
-        model = forest(params).fit(table.filter(F.col("fold") != fold))
+        model = forest_pipeline(params).fit(table.filter(F.col("fold") != fold))
         return model.transform(table.filter(F.col("fold") == fold))
 
     if parallelism > 1:
@@ -197,9 +225,14 @@ def cross_validate(
     params: ForestParams = ForestParams(),
     parallelism: int = 1,
 ) -> DataFrame:
-    """Matrix and metrics of every held-out fold."""
-    table = training_table(features, id_column, k, params.seed, [params.class_weight])
-    return add_metrics(confusion(held_out_predictions(table, k, params, parallelism)))
+    """Matrix and metrics of every held-out fold, computed now: ``k`` rows."""
+    table, written = training_table(features, id_column, k, params.seed, [params.class_weight])
+    try:
+        metrics = add_metrics(confusion(held_out_predictions(table, k, params, parallelism)))
+        return table.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
+    finally:
+        for part in written:
+            release(part)
 
 
 def cross_validation_summary(fold_metrics: DataFrame) -> DataFrame:
@@ -208,7 +241,8 @@ def cross_validation_summary(fold_metrics: DataFrame) -> DataFrame:
 
 def feature_importance(spark: SparkSession, model) -> DataFrame:
     """Importance of every feature in percent, highest first."""
-    fitted = model.stages[-1] if isinstance(model, PipelineModel) else model
+    stages = model.stages if isinstance(model, PipelineModel) else [model]
+    fitted = next(stage for stage in stages if hasattr(stage, "featureImportances"))
     rows = [
         (name, float(value) * 100)
         for name, value in zip(FEATURE_COLUMNS, fitted.featureImportances.toArray())
@@ -235,20 +269,20 @@ def expand_grid(grid: Mapping[str, Sequence]) -> list[ForestParams]:
 
 
 def param_maps(
-    classifier: RandomForestClassifier, grid: Mapping[str, Sequence]
+    grower: RandomForestRegressor | RandomForestClassifier, grid: Mapping[str, Sequence]
 ) -> list[dict[Param, object]]:
+    """Spark's form of a grid without ``criterion``, which chooses the grower itself."""
     params = {
-        "trees": classifier.numTrees,
-        "depth": classifier.maxDepth,
-        "criterion": classifier.impurity,
-        "min_leaf": classifier.minInstancesPerNode,
-        "min_gain": classifier.minInfoGain,
-        "features_per_split": classifier.featureSubsetStrategy,
-        "class_weight": classifier.weightCol,
-        "bootstrap": classifier.bootstrap,
-        "bins": classifier.maxBins,
-        "seed": classifier.seed,
-        "node_memory_mb": classifier.maxMemoryInMB,
+        "trees": grower.numTrees,
+        "depth": grower.maxDepth,
+        "min_leaf": grower.minInstancesPerNode,
+        "min_gain": grower.minInfoGain,
+        "features_per_split": grower.featureSubsetStrategy,
+        "class_weight": grower.weightCol,
+        "bootstrap": grower.bootstrap,
+        "bins": grower.maxBins,
+        "seed": grower.seed,
+        "node_memory_mb": grower.maxMemoryInMB,
     }
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -265,14 +299,10 @@ def f2_evaluator() -> MulticlassClassificationEvaluator:
 
 @dataclass(frozen=True)
 class SearchResult:
-    model: CrossValidatorModel
+    #: assembler and forest of the best parameters, fitted again on all rows
+    best_model: PipelineModel
     report: DataFrame
 
-    @property
-    def best_model(self):
-        """The forest with the best parameters, fitted again on all rows."""
-        return self.model.bestModel
-
     def best(self) -> DataFrame:
         return self.report.orderBy(F.col("f2").desc(), "combination").limit(1)
 
@@ -288,19 +318,29 @@ def grid_search(
     """Try every combination on the same stratified folds and keep the best mean F2."""
     expand_grid(grid)
     weights = list(grid.get("class_weight", (ForestParams().class_weight,)))
-    table = training_table(features, id_column, k, seed, weights)
-    classifier = forest(ForestParams(seed=seed, class_weight=weights[0]))
-    maps = param_maps(classifier, grid)
-    search = CrossValidator(
-        estimator=classifier, estimatorParamMaps=maps, evaluator=f2_evaluator(),
-        numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed,
-    )
-    model = search.fit(table)
-    rows = [
-        (i, float(score), {param.name: str(value) for param, value in chosen.items()})
-        for i, (score, chosen) in enumerate(zip(model.avgMetrics, maps))
-    ]
+    criteria = list(grid.get("criterion", (ForestParams().criterion,)))
+    rest = {name: values for name, values in grid.items() if name != "criterion"}
+    table, written = training_table(features, id_column, k, seed, weights)
+    rows, found = [], []
+    try:
+        for criterion in criteria:
+            pipeline = forest_pipeline(
+                ForestParams(seed=seed, class_weight=weights[0], criterion=criterion)
+            )
+            maps = param_maps(pipeline.getStages()[1], rest)
+            model = CrossValidator(
+                estimator=pipeline, estimatorParamMaps=maps, evaluator=f2_evaluator(),
+                numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed,
+            ).fit(table)
+            for score, chosen in zip(model.avgMetrics, maps):
+                named = {param.name: str(value) for param, value in chosen.items()}
+                rows.append((len(rows), float(score), {"criterion": criterion, **named}))
+            found.append((max(model.avgMetrics), model.bestModel))
+    finally:
+        for part in written:
+            release(part)
     report = table.sparkSession.createDataFrame(
         rows, "combination int, f2 double, params map<string,string>"
     )
-    return SearchResult(model, report.orderBy(F.col("f2").desc(), "combination"))
+    best = max(found, key=lambda pair: pair[0])[1]
+    return SearchResult(best, report.orderBy(F.col("f2").desc(), "combination"))

@@ -13,6 +13,8 @@ ENTRY = T.StructType([
     T.StructField("event_ts", T.TimestampType()),
     T.StructField("ts_note", T.StringType()),
     T.StructField("timestamp", T.StringType()),
+    # Where the entry was found: file, hive or computer.
+    T.StructField("origin", T.StringType()),
 ])
 
 SCRIPT_BLOCK_EVENT = T.StructType([
@@ -21,6 +23,7 @@ SCRIPT_BLOCK_EVENT = T.StructType([
         T.StructField(
             "TimeCreated", T.StructType([T.StructField("_SystemTime", T.StringType())])
         ),
+        T.StructField("Computer", T.StringType()),
     ])),
     T.StructField("EventData", T.StructType([
         T.StructField("Data", T.ArrayType(T.StructType([

@@ -11,10 +11,13 @@ from shellsieve.vocabulary import HISTORY_SOURCE
 
 
 def history_entries(lines: DataFrame, numbered: bool = True) -> DataFrame:
-    """Entries from a frame of ``value`` and ``file_time``; blank lines are dropped.
+    """Entries from a frame of ``value``, ``file_time`` and ``origin`` (the file).
+
+    Blank lines are dropped.  A frame without ``origin`` gives entries of unknown origin.
 
     A stream cannot be ``numbered``: its entries have no ``cmd_id``.
     """
+    origin = F.col("origin") if "origin" in lines.columns else F.lit(None).cast("string")
     command = X.strip(X.drop_invalid_utf8(F.col("value")))
     return lines.select(
         *([F.monotonically_increasing_id().alias("cmd_id")] if numbered else []),
@@ -23,11 +26,13 @@ def history_entries(lines: DataFrame, numbered: bool = True) -> DataFrame:
         F.col("file_time").alias("event_ts"),
         F.lit("file").alias("ts_note"),
         display_file_time(F.col("file_time")).alias("timestamp"),
+        origin.alias("origin"),
     ).filter(F.col("command") != "")
 
 
 def read_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_modification_time").alias("file_time")
+        "value", F.col("_metadata.file_modification_time").alias("file_time"),
+        F.col("_metadata.file_path").alias("origin"),
     )
     return history_entries(lines)

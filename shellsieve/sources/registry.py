@@ -53,6 +53,7 @@ def _entries(values: DataFrame, source: Column) -> DataFrame:
         stamp.alias("event_ts"),
         F.lit("key").alias("ts_note"),
         shown.alias("timestamp"),
+        F.col("hive_id").alias("origin"),
     )
 
 

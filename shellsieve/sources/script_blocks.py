@@ -15,9 +15,10 @@ from shellsieve.vocabulary import SCRIPT_BLOCK_EVENT as SCRIPT_BLOCK_ID
 def script_block_entries(events: DataFrame) -> DataFrame:
     """Entries from event records; every script text of an event is one entry."""
     time = F.col("System.TimeCreated._SystemTime")
+    computer = F.col("System.Computer")
     blocks = (
         events.filter(F.col("System.EventID._VALUE") == SCRIPT_BLOCK_ID)
-        .select(time.alias("time"), F.explode("EventData.Data").alias("data"))
+        .select(time.alias("time"), computer.alias("origin"), F.explode("EventData.Data").alias("data"))
         .filter(F.col("data._Name") == SCRIPT_BLOCK_FIELD)
         .filter(F.col("data._VALUE") != "")
     )
@@ -29,15 +30,17 @@ def script_block_entries(events: DataFrame) -> DataFrame:
         event_time(F.col("time")).alias("event_ts"),
         F.lit("event").alias("ts_note"),
         display_event_time(F.col("time")).alias("timestamp"),
+        "origin",
     )
 
 
 def read_event_xml(
-    spark: SparkSession, path: str | list[str], one_event_per_line: bool = False
+    spark: SparkSession, path: str | list[str], one_event_per_line: bool = True
 ) -> DataFrame:
     """Event records of XML files; a record that cannot be read has null fields.
 
-    Exports with one event per line can be split inside a file; others are read one
+    Exporters write one event per line, and such files are split between tasks.  Files
+    whose events run over several lines need ``one_event_per_line=False``, which reads one
     file per task.
     """
     if one_event_per_line:
@@ -55,6 +58,6 @@ def read_event_xml(
 
 
 def read_script_blocks(
-    spark: SparkSession, path: str | list[str], one_event_per_line: bool = False
+    spark: SparkSession, path: str | list[str], one_event_per_line: bool = True
 ) -> DataFrame:
     return script_block_entries(read_event_xml(spark, path, one_event_per_line))

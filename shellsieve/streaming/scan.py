@@ -2,7 +2,8 @@
 
 Scoring keeps no state: every micro-batch is scored on its own, there is no watermark
 and nothing to time out.  A stream cannot be sorted as a whole, so findings are
-appended as they come and ranked when the stored table is read.
+appended as they come and ranked when the stored table is read (``order_findings``
+breaks ties by origin, time, source and text where there is no ``cmd_id``).
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ def watch_history(spark: SparkSession, folder: str, files_per_batch: int = 1000)
     """Console histories that arrive in a folder, as a stream of entries."""
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(folder)
-        .select("value", F.col("_metadata.file_modification_time").alias("file_time"))
+        .select("value", F.col("_metadata.file_modification_time").alias("file_time"),
+                F.col("_metadata.file_path").alias("origin"))
     )
     return history_entries(lines, numbered=False)
 

@@ -17,8 +17,8 @@ TABLES = (
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = hunt_session("tests", "local[8]", **{
+def spark(tmp_path_factory):
+    session = hunt_session("tests", "local[8]", str(tmp_path_factory.mktemp("work")), **{
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",

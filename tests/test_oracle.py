@@ -6,8 +6,8 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from shellsieve.checks.oracle import ORACLE
+from shellsieve.checks.queries import QUERIES
 
 
 SAME_TYPE = {
@@ -28,9 +28,10 @@ def _rows(columns, rows):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry.queries())
+    assert ORACLE.items() <= entry.oracle_sql().items()
     assert set(QUERIES) - set(ORACLE) == {
-        "payload_in_texts", "rf_scores", "rf_importance", "rf_cross_validation", "rf_grid",
+        "rf_scores", "rf_importance", "rf_grid",
     }
 
 
@@ -51,5 +52,23 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
     assert actual
 
 
+ORDERED = {
+    "findings_sorted": "score DESC, cmd_id",
+    "findings_table": "CAST(replace(score, '%', '') AS DOUBLE) DESC, cmd_id",
+    "findings_by_date": "shown ASC NULLS FIRST, cmd_id",
+    "findings_by_source": "lower(source), cmd_id",
+    "findings_top": "score DESC, cmd_id",
+}
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_findings_come_in_order(spark, duck, sf_dir, name):
+    """Bags do not tell an unsorted result from a sorted one: compare as lists."""
+    frame = QUERIES[name](spark, sf_dir)
+    result = duck.execute(f"SELECT * FROM ({ORACLE[name]}) ORDER BY {ORDERED[name]}")
+    names = [c[0] for c in result.description]
+    assert [tuple(r[c] for c in names) for r in frame.collect()] == result.fetchall()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

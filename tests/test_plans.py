@@ -1,12 +1,24 @@
-"""What Spark makes of the plans: nothing twice, nothing in Python, few exchanges."""
+"""What Spark makes of the plans: nothing twice, Python for one step only, few exchanges."""
+
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from shellsieve.checks import corpus
+from shellsieve.operators import evaluation
 from shellsieve.operators.allowlist import mark_trusted
 from shellsieve.operators.features import add_features
+from shellsieve.plans import train
 from shellsieve.plans.hunt import find_malicious, report_commands, score_commands
+from shellsieve.session import settle
+from shellsieve.sources.script_blocks import read_event_xml
+
+
+@pytest.fixture(autouse=True)
+def whole_plans(spark):
+    """Plan texts are cut at 25 fields otherwise, and with them what is counted."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
 
 
 def physical(frame):
@@ -25,7 +37,7 @@ def commands(spark, tmp_path_factory):
 STEPS = {
     "tokens": "(?<![A-Za-z0-9+/])", "payload": "unbase64(", "split literals": "regexp_replace(__full",
     "character codes": "(?iU)\\[char\\]", "entropy": "LOG1P(", "upper case": "IsUppercase",
-    "single line": "(?U)[\\s\\x1c-\\x1f]+, ", "Python": "EvalPython",
+    "single line": "(?U)[\\s\\x1c-\\x1f]+, ", "Python": "ArrowEvalPython",
 }
 
 
@@ -38,7 +50,7 @@ STEPS = {
 def test_each_text_step_is_planned_once(commands, make):
     plan = physical(make(commands))
     assert {step: plan.count(mark) for step, mark in STEPS.items() if plan.count(mark) > 1} == {}
-    assert "EvalPython" not in plan and "(?iU)" in plan
+    assert plan.count("ArrowEvalPython") == 1 and "(?iU)" in plan  # the entropy, on Arrow batches
 
 
 def test_scan_reads_only_what_it_needs_and_filters_before_features(commands):
@@ -55,7 +67,35 @@ def test_scan_reads_only_what_it_needs_and_filters_before_features(commands):
 
 def test_hash_join_strategies(spark, commands):
     listed = commands.select(F.sha2("command", 256).alias("sha256"))
-    small = physical(mark_trusted(commands, "command", listed, "cmd_id"))
-    large = physical(mark_trusted(commands, "command", listed, "cmd_id", broadcast_rows=0))
+    small = physical(mark_trusted(commands, "command", listed))
+    large = physical(mark_trusted(commands, "command", listed, broadcast_rows=0))
     assert "BroadcastHashJoin" in small
-    assert "__salt" in large and "Cartesian" not in large and "NestedLoop" not in large
+    assert "SortMergeJoin" in large and "Cartesian" not in large and "NestedLoop" not in large
+
+
+def test_scan_with_a_forest_plans_each_step_once(spark, commands):
+    features = train.build_dataset(commands.select("cmd_id", "command", "malicious"))
+    model = train.fit_forest(features, train.ForestParams(trees=3, depth=3))
+    plan = physical(score_commands(commands, model).filter("is_malicious"))
+    assert {step: plan.count(mark) for step, mark in STEPS.items() if plan.count(mark) > 1} == {}
+    assert "Exchange" not in plan
+
+
+def test_folds_exchange_no_text_but_the_id(spark, commands):
+    features = train.build_dataset(commands.select("cmd_id", "command", "malicious"))
+    table = settle(train.model_input(features))
+    plan = evaluation.add_folds(table, "cmd_id")._jdf.queryExecution().optimizedPlan()
+    window = re.search(r"Window \[row_number.*", plan.toString())
+    assert window and "command" not in {f.name for f in table.schema}
+    texts = [f.name for f in table.schema if f.dataType.typeName() == "string"]
+    assert texts == []
+
+
+def test_events_are_split_inside_a_file_by_default(spark, tmp_path):
+    (tmp_path / "events.xml").write_text("<Event></Event>\n" * 50_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert read_event_xml(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shellsieve.functions import times
 from shellsieve.operators.allowlist import mark_trusted
-from shellsieve.plans.hunt import check_scripts
+from shellsieve.plans.hunt import check_scripts, find_malicious
 from shellsieve.schema import LABELLED_COMMAND, REGISTRY_VALUE
 from shellsieve.sources.history import read_history
 from shellsieve.sources.registry import (
@@ -50,7 +50,7 @@ def test_history(spark, tmp_path):
 
 EVENT = (
     '<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System>'
-    "<EventID{attr}>{id}</EventID>{time}</System>{data}</Event>"
+    "<EventID{attr}>{id}</EventID>{time}<Computer>host7</Computer></System>{data}</Event>"
 )
 
 
@@ -166,6 +166,8 @@ def test_scripts_and_hashes(spark, tmp_path):
     put(tmp_path / "d.ps1", b"\xff")  # empty once the undecodable byte is gone
     put(tmp_path / "e.ps1", b"iex (amsiutils)")
     put(tmp_path / "f.ps1", b"git status")
+    put(tmp_path / "g.ps1", b"")  # of length zero: its hash is the first on the built-in list
+    put(tmp_path / "_hidden", b"")
     listed = hashlib.sha256(approved.encode()).hexdigest()
     trusted = spark.createDataFrame([(listed,), (listed,)], "sha256 string")
     scripts = read_scripts(spark, str(tmp_path))
@@ -176,14 +178,15 @@ def test_scripts_and_hashes(spark, tmp_path):
     small = mark_trusted(scripts, trusted=trusted)
     large = mark_trusted(scripts, trusted=trusted, broadcast_rows=0)
     assert names(small) == names(large) == ["a.ps1", "b.ps1", "c.ps1"]
-    assert small.count() == large.count() == 6
-    assert names(mark_trusted(scripts)) == ["d.ps1"]
+    assert small.count() == large.count() == 7
+    assert names(mark_trusted(scripts)) == ["d.ps1", "g.ps1"]
 
     rows = {
         os.path.basename(r.path): r
         for r in check_scripts(scripts, trusted, base_score=F.lit(10.0)).collect()
     }
-    assert len(rows) == 6
+    assert len(rows) == 7
+    assert os.path.basename(rows["e.ps1"].origin) == "e.ps1"
     assert rows["a.ps1"].reason == f"Hash SHA-256 approvato dal team IT ({listed[:8]}...)"
     assert rows["a.ps1"].score is None and not rows["a.ps1"].is_malicious
     assert rows["e.ps1"].score == 95.0 and rows["e.ps1"].level == "CRITICO"
@@ -192,8 +195,8 @@ def test_scripts_and_hashes(spark, tmp_path):
 
 
 def test_labelled_tables(spark, tmp_path):
-    rows = [("iex \"a\",\nb", 1), (None, 0), ("ls", 0)]
-    frame = spark.createDataFrame(rows, LABELLED_COMMAND).coalesce(1)
+    rows = [("7", "iex \"a\",\nb", 1), ("8", None, 0), ("x", "ls", 0)]
+    frame = spark.createDataFrame(rows, "id string, command string, malicious int").coalesce(1)
     frame.write.parquet(str(tmp_path / "p"))
     frame.write.json(str(tmp_path / "j"))
     frame.write.option("header", "true").option("escape", '"').csv(str(tmp_path / "c"))
@@ -206,14 +209,22 @@ def test_feature_table_round_trip(spark, tmp_path):
     from shellsieve.plans.train import build_dataset
 
     frame = spark.createDataFrame([("iex\x07 a", 1), (None, 0)], LABELLED_COMMAND)
-    table = build_dataset(frame)
+    table = build_dataset(frame.withColumns({"id": F.lit("i"), "fold": F.lit(3)}))
     write_features(table, str(tmp_path / "f"))
     again = read_features(spark, str(tmp_path / "f"))
-    assert again.columns == table.columns and len(again.columns) == 25
+    assert again.columns == table.columns and len(again.columns) == 27
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.collect()))
     assert sorted(r.command for r in again.collect()) == ["", "iex a"]
 
 
+def test_whole_texts_reach_the_features(spark):
+    from shellsieve.plans.train import build_dataset
+
+    frame = spark.createDataFrame([("x" * 33_000 + " iex", 1)], LABELLED_COMMAND)
+    row = build_dataset(frame).first()
+    assert row.has_iex == 1 and len(row.command) == 33_004
+
+
 def test_preparation_differs_between_training_and_scan(spark):
     from shellsieve.plans.train import build_dataset
 
@@ -230,9 +241,15 @@ def test_union_of_sources(spark, tmp_path):
     values = registry_entries(registry(spark))
     union = combine_sources(history, events, values)
     assert union.count() == 3 + 1 + 6
-    assert union.select("cmd_id").distinct().count() == 10
-    order = [r.source for r in union.orderBy("cmd_id").collect()]
+    assert union.select("source_no", "cmd_id").distinct().count() == 10
+    order = [r.source for r in union.orderBy("source_no", "cmd_id").collect()]
     assert order[:4] == ["Console_History"] * 3 + ["PS_Operational.evtx (EID 4104)"]
+    assert {r.origin.rsplit("/", 1)[-1] for r in union.collect()} == {"h.txt", "host7", "h"}
+    many = combine_sources(history, None, events, values, history, history, events)
+    assert many.count() == 10 + 3 + 3 + 1
+    assert many.select("source_no", "cmd_id").distinct().count() == many.count()
+    ranked = find_malicious(many, base_score=F.lit(60.0))
+    assert "origin" in ranked.columns and ranked.count() == many.count()
     assert combine_sources(None, events, None).count() == 1
     with pytest.raises(ValueError):
         combine_sources(None, None, None)

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from shellsieve.plans.hunt import score_commands
+from shellsieve.checks import corpus
+from shellsieve.operators.results import display_columns, order_findings, shown_percent
+from shellsieve.plans import train
+from shellsieve.plans.hunt import find_malicious, score_commands
 from shellsieve.sources.history import read_history
 from shellsieve.streaming.scan import append_findings, stream_findings, watch_history
 
@@ -29,5 +32,39 @@ def test_stream_equals_batch(spark, tmp_path):
         return sorted((r.command, r.score, r.level) for r in scored.filter("is_malicious").collect())
 
     assert run() == batch() and len(batch()) == 6
+    # What is stored can be ranked and shown, and says where it comes from.
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    ranked = order_findings(stored)
+    assert [r.score for r in ranked.collect()] == sorted((r.score for r in stored.collect()), reverse=True)
+    assert {r.origin.rsplit("/", 1)[-1] for r in display_columns(ranked).collect()} == {"h0.txt", "h1.txt", "h2.txt"}
+    assert find_malicious(read_history(spark, str(folder)), base_score=base).count() == ranked.count()
+    assert find_malicious(read_history(spark, str(folder)).drop("cmd_id"), base_score=base).count() == ranked.count()
     (folder / "late.txt").write_text("iex (amsiutils) late\n")
     assert run() == batch() and len(batch()) == 7
+
+
+def test_stream_with_a_forest(spark, tmp_path):
+    commands = corpus.commands(spark, "/root/testdata/sf0.001")
+    model = train.fit_forest(
+        train.build_dataset(commands.select("cmd_id", "command", "malicious")),
+        train.ForestParams(trees=5, depth=5),
+    )
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "h.txt").write_text("\n".join(f"{line} {i}" for line in LINES for i in range(9)))
+    append_findings(
+        stream_findings(watch_history(spark, str(folder)), model),
+        str(tmp_path / "out"), str(tmp_path / "check"), until_caught_up=True,
+    ).awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "out"))
+    batch = score_commands(read_history(spark, str(folder)), model).filter("is_malicious")
+    key = lambda frame: sorted((r.command, r.score) for r in frame.collect())
+    assert key(streamed) == key(batch) and batch.count() >= 9
+
+
+def test_halves_are_shown_even(spark):
+    frame = spark.createDataFrame([(53.125,), (53.135,), (0.375,), (100.0,)], "score double")
+    shown = [r[0] for r in frame.select(shown_percent(F.col("score"))).collect()]
+    assert shown == ["53.12%", "53.14%", "0.38%", "100.00%"]
+    ties = spark.createDataFrame([(1, 53.124), (2, 53.125), (3, 53.126)], "cmd_id long, score double")
+    assert [r.cmd_id for r in order_findings(ties).collect()] == [3, 1, 2]

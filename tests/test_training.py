@@ -1,13 +1,22 @@
 """Folds, metrics and forests: properties, since no forest gives equal values elsewhere."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from shellsieve.checks import corpus
 from shellsieve.operators import evaluation
 from shellsieve.plans import train
-from shellsieve.plans.hunt import score_commands
-from shellsieve.sources.tables import load_model, save_model
+from shellsieve.plans.hunt import find_malicious, score_commands
+from shellsieve.session import work_folder
+from shellsieve.sources.tables import (
+    load_model,
+    read_features,
+    read_labelled,
+    save_model,
+    write_features,
+)
 from shellsieve.vocabulary import FEATURE_COLUMNS
 
 SMALL = train.ForestParams(trees=10, depth=6)
@@ -107,12 +116,66 @@ def test_folds_before_or_after_the_features_are_the_same(spark, features):
     labelled = corpus.commands(spark, "/root/testdata/sf0.001").select(
         "cmd_id", "command", "malicious"
     )
-    early = train.build_dataset(train.labelled_folds(labelled, "cmd_id", 3))
-    tables = [train.training_table(f, "cmd_id", 3) for f in (early, features)]
+    dealt = train.labelled_folds(labelled, "cmd_id", 3)
+    assert dealt.columns == ["cmd_id", "malicious", "fold"]
+    early = features.join(dealt.select("cmd_id", "fold"), "cmd_id")
+    tables = [train.training_table(f, "cmd_id", 3)[0] for f in (early, features)]
     folds = [sorted((r.cmd_id, r.fold) for r in t.collect()) for t in tables]
     assert folds[0] == folds[1] and len(folds[0]) == 1000
 
 
+def test_null_ids_get_folds(spark):
+    frame = spark.createDataFrame([(1, 0), (None, 0), (None, 1), (2, None)], "id long, malicious int")
+    assert evaluation.add_folds(frame, "id").filter("fold IS NOT NULL").count() == 4
+
+
+def test_a_forest_of_one_split_has_the_shares_of_its_leaves(spark):
+    """Both leaves predict class 1; a classifier would merge them and mix their shares."""
+    rows = [(1, 1)] * 9 + [(1, 0)] * 1 + [(0, 1)] * 6 + [(0, 0)] * 4
+    base = {c: 0 for c in FEATURE_COLUMNS}
+    frame = spark.createDataFrame(
+        [{**base, "danger_density": d, "malicious": m} for d, m in rows],
+        ", ".join(f"{c} int" for c in (*FEATURE_COLUMNS, "malicious")),
+    )
+    params = train.ForestParams(
+        trees=1, depth=1, bootstrap=False, features_per_split="all", class_weight=7.0)
+    model = train.fit_forest(frame, params)
+    shares = {r.danger_density: r.leaf_share for r in model.transform(frame.fillna(0)).collect()}
+    assert shares == {1: pytest.approx(63 / 64), 0: pytest.approx(42 / 46)}
+
+
+def test_life_cycle_over_files(spark, tmp_path):
+    """The README's example: labelled files, features, validation, search, model, scan."""
+    commands = corpus.commands(spark, "/root/testdata/sf0.001")
+    labelled = commands.select(F.col("cmd_id").alias("id"), "command", "malicious")
+    labelled.write.parquet(str(tmp_path / "labelled"))
+    read = read_labelled(spark, str(tmp_path / "labelled"))
+    write_features(train.build_dataset(read), str(tmp_path / "features"))
+    features = read_features(spark, str(tmp_path / "features"))
+    metrics = train.cross_validate(features, "id", 3, SMALL)
+    assert metrics.count() == 3
+    result = train.grid_search(features, "id", {"trees": (2, 5), "criterion": ("gini", "entropy")}, k=2)
+    assert result.report.count() == 4
+    save_model(result.best_model, str(tmp_path / "model"))
+    found = find_malicious(commands, load_model(str(tmp_path / "model")))
+    assert found.count() > 100
+    labelled.drop("id").write.parquet(str(tmp_path / "nameless"))
+    with pytest.raises(ValueError, match="no column 'id'"):
+        read_labelled(spark, str(tmp_path / "nameless"))
+    with pytest.raises(ValueError, match="lacks"):
+        read_features(spark, str(tmp_path / "nameless"))
+    with pytest.raises(ValueError, match="no column 'key'"):
+        train.cross_validate(features, "key", 2, SMALL)
+
+
+def test_written_tables_are_deleted(spark, features):
+    folder = os.path.join(work_folder(spark), "settled")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    train.fit_forest(features, SMALL)
+    train.cross_validate(features, "cmd_id", 2, SMALL)
+    assert set(os.listdir(folder)) == before
+
+
 def test_full_grid():
     grid = train.expand_grid(train.FULL_GRID)
     assert len(grid) == len(set(grid)) == 14 * 4 * 2 * 3 * 2
@@ -128,8 +191,8 @@ def test_grid_search(features):
     assert len(rows) == 8 and {r.combination for r in rows} == set(range(8))
     assert [r.f2 for r in rows] == sorted((r.f2 for r in rows), reverse=True)
     best = result.best().first()
-    assert best.f2 == rows[0].f2 == max(result.model.avgMetrics)
-    assert result.best_model.getNumTrees == int(best.params["numTrees"])
+    assert best.f2 == rows[0].f2
+    assert result.best_model.stages[1].getNumTrees == int(best.params["numTrees"])
     assert {r.params["weightCol"] for r in rows} == {"weight_7", "weight_balanced"}
 
 
