@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -63,8 +64,14 @@ def discard(table: DataFrame) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, as ``--py-files`` would."""
+    """Give the Python workers this package, once per application, as ``--py-files`` would.
+
+    Arrow batches get a limit of some megabytes, so that a worker's memory follows neither
+    the number nor the length of the texts; a limit that the session sets itself stays.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, "8m")
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
