@@ -49,7 +49,7 @@ class SubwordClassifier:
         self.bias = np.zeros(classes, np.float32)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int = 8,
-            epochs: int = 12, rate: float = 0.2, batch: int = 32, seed: int = 11) -> SubwordClassifier:
+            epochs: int = 6, rate: float = 0.2, batch: int = 32, seed: int = 11) -> SubwordClassifier:
         """Adagrad over the rows; without rows all classes but the first share a quarter."""
         n = np.bincount(labels, minlength=self.classes).astype(float)
         prior = n + np.where(np.arange(self.classes) == 0, 1.5, 0.5 / max(1, self.classes - 1))

@@ -54,12 +54,13 @@ def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, one row each, with what they hold and where."""
     found = decontaminate.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
-    return found.select(
-        "doc_id", (F.size("matches") > 0).cast("int").alias("contaminated"),
-        F.size("matches").cast("long").alias("n_items"), F.concat_ws(",", items).alias("item_ids"),
-        F.round(F.array_max(F.transform("matches", lambda m: m["similarity"])), 6).alias("similarity"))
+    held = F.transform("matches", lambda m: F.concat_ws(
+        ":", *[m[c].cast("string") for c in ("item_id", "first_word", "n_words", "bits")]))
+    best = F.array_max(F.transform("matches", lambda m: m["similarity"]))
+    return found.filter(F.size("matches") > 0).select(
+        "doc_id", F.concat_ws(",", held).alias("matches"), F.round(best, 6).alias("similarity"))
 
 
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

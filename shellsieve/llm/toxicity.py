@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shellsieve.llm.classifier import SubwordClassifier, train
 from shellsieve.llm.tokens import buffers
 
-TRAINING_ROWS = 5000
+TRAINING_ROWS = 8000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
