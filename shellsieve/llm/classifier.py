@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shellsieve.llm.subwords import SIZES, Subwords
 from shellsieve.llm.tokens import buffers, pieces
 
+CAUTION = np.float32(0.003)
 GAIN = 50.0  # scales the mean, so that a few words of a long text reach the softmax
 
 
@@ -49,8 +50,15 @@ class SubwordClassifier:
         self.bias = np.zeros(classes, np.float32)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int = 8,
-            epochs: int = 6, rate: float = 0.2, batch: int = 32, seed: int = 11) -> SubwordClassifier:
-        """Adagrad over the rows; without rows all classes but the first share a quarter."""
+            updates: int = 1500, rate: float = 0.3, batch: int = 32, seed: int = 11) -> SubwordClassifier:
+        """Adagrad in whole passes until that many updates; a row is buckets and weights.
+
+        ``CAUTION`` keeps steps of parts that are met once or twice small: without it such
+        parts are learned by heart.  Steps shrink to nothing towards the end.  Without rows
+        all classes but the first share a quarter.
+        """
+        in_pass, step = max(1, -(-len(rows) // batch)), 0
+        passes = -(-updates // in_pass)
         n = np.bincount(labels, minlength=self.classes).astype(float)
         prior = n + np.where(np.arange(self.classes) == 0, 1.5, 0.5 / max(1, self.classes - 1))
         bias = np.log(prior / prior.sum())
@@ -60,12 +68,14 @@ class SubwordClassifier:
         seen_v = np.full((self.buckets, 1), 1e-8, np.float32)
         seen_s, seen_b = np.full(softmax.shape, 1e-8), np.full(self.classes, 1e-8)
         order, one = np.arange(len(rows)), np.eye(self.classes)
-        for _ in range(epochs if np.count_nonzero(n) > 1 else 0):
+        for _ in range(passes if np.count_nonzero(n) > 1 else 0):
             rng.shuffle(order)
             for at in range(0, len(order), batch):
                 some = order[at:at + batch]
+                pace = rate * (1 - step / (passes * in_pass))
+                step += 1
                 index = np.concatenate([rows[i][0] for i in some])
-                value = np.concatenate([rows[i][1] for i in some]) * np.float32(GAIN)
+                value = np.concatenate([rows[i][1] for i in some]).astype(np.float32) * np.float32(GAIN)
                 sizes = np.array([len(rows[i][0]) for i in some])
                 hidden = np.zeros((len(some), width), np.float32)
                 if not len(index):
@@ -86,9 +96,9 @@ class SubwordClassifier:
                 seen_v[touched] += (to_vectors**2).mean(1, keepdims=True)
                 seen_s += to_softmax**2
                 seen_b += to_bias**2
-                vectors[touched] -= rate * to_vectors / np.sqrt(seen_v[touched])
-                softmax -= (rate * to_softmax / np.sqrt(seen_s)).astype(np.float32)
-                bias -= rate * to_bias / np.sqrt(seen_b)
+                vectors[touched] -= pace * to_vectors / (np.sqrt(seen_v[touched]) + CAUTION)
+                softmax -= (pace * to_softmax / np.sqrt(seen_s)).astype(np.float32)
+                bias -= pace * to_bias / np.sqrt(seen_b)
         if len(rows):
             met = np.zeros(self.buckets, bool)
             for index, _ in rows:
@@ -132,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, classes: int, rows: int, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(i.tobytes(), v.tobytes()) for i, v in bags(*buffers(batch.column(1)), buckets, sizes)]
+            own = [(i.tobytes(), v.astype(np.float16).tobytes()) for i, v in bags(*buffers(batch.column(1)), buckets, sizes)]
             columns = list(zip(*own, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
@@ -142,6 +152,6 @@ def train(docs: DataFrame, labels: DataFrame, classes: int, rows: int, text: str
     # Bounded by `rows`; a repeated id would exceed it, so the rest of such rows is left out.
     for row in chosen.mapInArrow(run, "label int, index binary, value binary").toLocalIterator():
         if len(found) < rows:
-            found.append((np.frombuffer(row["index"], np.int32), np.frombuffer(row["value"], np.float32)))
+            found.append((np.frombuffer(row["index"], np.int32), np.frombuffer(row["value"], np.float16)))
             targets.append(row["label"])
     return model.fit(found, np.array(targets, np.int64))

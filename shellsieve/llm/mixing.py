@@ -31,6 +31,14 @@ STEPS = 25
 TOLERANCE = 1e-4
 
 
+def rates_after(steps: list[np.ndarray], floor: float, posterior: np.ndarray) -> np.ndarray:
+    """Rates from one on, each step projected onto the rates of ``floor`` or more."""
+    rate = np.ones(len(posterior))
+    for step in steps:
+        rate = np.maximum(floor, rate - posterior @ step)
+    return rate
+
+
 class Mixture:
     """Domains, the classifier of their posteriors, and the fitted gradient vectors."""
 
@@ -41,10 +49,7 @@ class Mixture:
         self.floor = self.error = 0.0
 
     def rates(self, posterior: np.ndarray) -> np.ndarray:
-        rate = np.ones(len(posterior))
-        for step in self.steps:
-            rate = np.maximum(self.floor, rate - posterior @ step)
-        return rate
+        return rates_after(self.steps, self.floor, posterior)
 
 
 def domains_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,23 +98,34 @@ def with_posteriors(docs: DataFrame, mixture: Mixture, text: str = "text",
     return chosen.mapInArrow(run, ", ".join(kinds))
 
 
-def _moments(table: DataFrame, mixture: Mixture) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at the present rates, and the Gram matrix."""
-    k = len(mixture.domains)
+def _sums(table: DataFrame, of) -> np.ndarray:
+    """Sums over all rows of the vectors that ``of(tokens, posteriors)`` makes of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, gram = np.zeros(k), np.zeros((k, k))
+        total = None
         for batch in batches:
             n = batch.column(0).to_numpy().astype(float)
-            p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-            total += (n * mixture.rates(p)) @ p
-            gram += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([np.r_[total, gram.ravel()].tolist()])], ["m"])
+            if len(n):
+                part = of(n, batch.column(1).flatten().to_numpy().reshape(len(n), -1))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
+
+    parts = table.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    return np.array([r.x for r in parts.orderBy("i").collect()])  # a vector of fixed length
 
-    parts = table.mapInArrow(run, "m array<double>")
-    sums = [F.sum(F.get("m", F.lit(i))).alias(f"m{i}") for i in range(k + k * k)]
-    flat = np.array([x or 0.0 for x in parts.agg(*sums).first()])
-    return flat[:k], flat[k:].reshape(k, k)
+
+def _totals(table: DataFrame, mixture: Mixture) -> np.ndarray:
+    """Expected tokens of each domain at the present rates."""
+    steps, floor = list(mixture.steps), mixture.floor  # what tasks need, without the classifier
+    sums = _sums(table, lambda n, p: (n * rates_after(steps, floor, p)) @ p)
+    return sums if len(sums) else np.zeros(len(mixture.domains))
+
+
+def _gram(table: DataFrame, mixture: Mixture) -> np.ndarray:
+    k = len(mixture.domains)
+    sums = _sums(table, lambda n, p: ((p * n[:, None]).T @ p).ravel())
+    return sums.reshape(k, k) if len(sums) else np.zeros((k, k))
 
 
 def fit_rates(docs: DataFrame, mixture: Mixture, weights: dict[str, float] | None = None,
@@ -124,7 +140,7 @@ def fit_rates(docs: DataFrame, mixture: Mixture, weights: dict[str, float] | Non
     """
     table = written(with_posteriors(docs, mixture, text, ()).select("__n_tokens", "__posterior"))
     mixture.steps, mixture.floor = [], floor
-    totals, gram = _moments(table, mixture)
+    totals, gram = _totals(table, mixture), _gram(table, mixture)
     shares = np.array([weights.get(d, 0.0) for d in mixture.domains]) if weights else totals**temper
     shares = shares / max(shares.sum(), 1e-300)
     scale = max([totals.sum(), *(floor * totals[shares > 0] / shares[shares > 0])])
@@ -136,7 +152,7 @@ def fit_rates(docs: DataFrame, mixture: Mixture, weights: dict[str, float] | Non
         if error <= TOLERANCE or error > 0.99 * last:
             break
         mixture.steps.append(np.linalg.lstsq(gram, gap, rcond=1e-10)[0])
-        totals, _ = _moments(table, mixture)
+        totals = _totals(table, mixture)
     mixture.error = error
     return mixture
 
