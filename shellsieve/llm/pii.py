@@ -35,8 +35,10 @@ from shellsieve.llm.spans import Found, annotate, ordered
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-BELIEF = 0.6
+BELIEF = 0.5
 ROUNDS = 12
+#: smoothing of the pair factors: that many pairs, of which this share agrees
+PSEUDO, AGREEMENT = 20.0, 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -224,15 +226,24 @@ class Field:
             self.weights += rate * speed
 
     def _affinity(self, counts: dict[tuple, int], piece: str) -> np.ndarray:
-        """Log odds of label pairs against chance, from smoothed counts, within ±4."""
-        n = np.full((len(LABELS), len(LABELS)), 0.5) + 4 * np.eye(len(LABELS))
+        """Log odds of a label given its neighbour's, against its share among all tokens.
+
+        Conditional shares are smoothed towards agreement, which stands for label pairs that
+        the corpus does not show.
+        """
+        size = len(LABELS)
+        n, share = np.zeros((size, size)), np.ones(size)
         for k, c in counts.items():
             if k[0] == piece:
                 n[k[1], k[2]] += c
                 n[k[2], k[1]] += c
-        n /= n.sum()
-        one = n.sum(1)
-        return np.clip(np.log(n / (one[:, None] * one[None, :])), -4, 4)
+            elif k[0] == "shape":
+                share[k[-1]] += c
+        agree = np.full((size, size), (1 - AGREEMENT) / (size - 1))
+        np.fill_diagonal(agree, AGREEMENT)
+        given = (n + PSEUDO * agree) / (n.sum(1, keepdims=True) + PSEUDO)
+        odds = np.log(given / (share / share.sum())[None, :])
+        return np.clip((odds + odds.T) / 2, -4, 4)
 
     def token_factors(self, tokens: Tokens) -> np.ndarray:
         logits = self._rows(tokens.shapes()) @ self.weights

@@ -86,7 +86,7 @@ def _best(rows, columns, score, ids, k):
 
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
     flat = column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), size)
 
 
 def _finder(k: int):
