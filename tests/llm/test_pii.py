@@ -73,8 +73,8 @@ def test_field_carries_labels_to_later_mentions(spark):
 
 def test_a_token_repeated_often_is_cheap(spark):
     field = pii.Field({})
-    text = "+1 (487) 555-7209 " + "555-7209 " * 3000
-    assert len(pii.find_personal(text, field)) >= 1
+    text = "+1 (487) 555-7209 x " + "555-7209 y " * 3000
+    assert [s for s in pii.find_personal(text, field) if s[3]] == [("phone", 0, 17, True, "")]
 
 
 def test_beliefs_match_enumeration():

@@ -61,7 +61,7 @@ def test_scores_are_those_of_the_averaged_embedding():
     rows, labels = corpus(60)
     data, offsets = buffers(pa.array([t for _, t in rows] + [""]))
     found = list(bags(data, offsets, 1 << 12, (3, 4)))
-    model = SubwordClassifier(2, 1 << 12, (3, 4)).fit(found[:-1], np.array([t for _, t in labels]), epochs=3)
+    model = SubwordClassifier(2, 1 << 12, (3, 4)).fit(found[:-1], np.array([t for _, t in labels]), updates=6)
     p = model.probabilities(data, offsets)
     for (index, value), got in zip(found, p):
         logits = value.astype(float) @ model.table[index] + model.bias
