@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.llm.storage import written
-from shellsieve.llm.tokens import Words, buffers, pieces
+from shellsieve.llm.tokens import Words, buffers, distinct, in_sorted, pieces
 
 BUCKET_BYTES = 24 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -36,14 +36,6 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy()
 
 
-def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(among, values)
-    at[at == len(among)] = 0
-    return among[at] == values
-
-
 def _texts(table: pa.Table) -> Iterator[tuple[int, Words]]:
     """The words of a bucket's documents, some megabytes at a time, with the first row."""
     data, offsets = buffers(table.column("text").combine_chunks())
@@ -93,9 +85,9 @@ def _block_sender(block: int, parts: int):
             index.append(key[aligned])
             probes.append(key[~aligned])
         index, n = np.unique(np.concatenate(index), return_counts=True)
-        probes = np.unique(np.concatenate(probes))
-        both = _in_sorted(index, probes)
-        probes = probes[~_in_sorted(probes, index)]
+        probes = distinct(np.concatenate(probes))
+        both = in_sorted(index, probes)
+        probes = probes[~in_sorted(probes, index)]
         more = (n > 1) | both
         rows: dict[int, list] = {}
         for at, values in enumerate((index[~more], index[more], probes)):
@@ -110,13 +102,13 @@ def _block_matcher(part: pa.Table) -> pa.Table:
     """Block hashes that stand somewhere else too, told to each bucket that has them."""
     read = [[np.frombuffer(x.as_py(), np.uint32) for x in part.column(c)] for c in ("once", "more", "probes")]
     index, n = np.unique(np.concatenate(read[0] + read[1]), return_counts=True)
-    more = np.unique(np.concatenate(read[1]))
-    probes = np.unique(np.concatenate(read[2]))
-    repeated = index[(n > 1) | _in_sorted(index, more) | _in_sorted(index, probes)]
+    more = distinct(np.concatenate(read[1]))
+    probes = distinct(np.concatenate(read[2]))
+    repeated = index[(n > 1) | in_sorted(index, more) | in_sorted(index, probes)]
     p, rows = part.column("part")[0].as_py(), []
     for q, *own in zip(part.column("q").to_pylist(), *read, strict=True):
         own = np.concatenate(own)
-        own = own[_in_sorted(own, repeated)]
+        own = own[in_sorted(own, repeated)]
         if len(own):
             rows.append((q, p, own.tobytes()))
     return _table(rows, _HITS)
@@ -126,7 +118,7 @@ def _window_sender(window: int, block: int, parts: int):
     def run(bucket: pa.Table, hits: pa.Table) -> pa.Table:
         if not bucket.num_rows or not hits.num_rows:
             return _table([], _WINDOWS)
-        anchors = np.sort(np.concatenate([
+        anchors = distinct(np.concatenate([
             np.frombuffer(h.as_py(), np.uint32).astype(np.uint64) | np.uint64(p.as_py() << 32)
             for p, h in zip(hits.column("part"), hits.column("hits"), strict=True)]))
         ids, q, found_h, found_id = _ids(bucket), bucket.column("q")[0].as_py(), [], []
@@ -134,7 +126,7 @@ def _window_sender(window: int, block: int, parts: int):
             w = words.hashes()
             begin, h = words.windows(block, w)
             anchored = np.zeros(len(w) + window + 1, np.int64)
-            anchored[1 + begin[_in_sorted(_routed(h, parts), anchors)]] = 1
+            anchored[1 + begin[in_sorted(_routed(h, parts), anchors)]] = 1
             anchored = np.cumsum(anchored)
             begin, h = words.windows(window, w)
             near = anchored[begin + window - block + 1] > anchored[begin]

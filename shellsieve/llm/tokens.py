@@ -48,6 +48,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is many times faster here than ``np.unique``'s hashing."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array; a bit table spares most of the searches."""
+    found = np.zeros(len(values), bool)
+    if not len(among):
+        return found
+    low = values.dtype.type((1 << 22) - 1)
+    sieve = np.zeros(1 << 22, bool)
+    sieve[among & low] = True
+    maybe = np.flatnonzero(sieve[values & low])
+    at = np.searchsorted(among, values[maybe])
+    at[at == len(among)] = 0
+    found[maybe[among[at] == values[maybe]]] = True
+    return found
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; a null is an empty text."""
     if column.null_count:
@@ -71,6 +92,20 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         row = min(stop, n)
 
 
+def count_words(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> np.ndarray:
+    """Words of each text, without listing them."""
+    if len(data) == 0:
+        return np.zeros(len(offsets) - 1, np.int64)
+    solid = ~white[data]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+    begin[heads] = solid[heads]
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(begin, out=sums[1:])
+    return np.diff(sums[offsets])
+
+
 class Words:
     """The words of some texts: byte ranges, first word of each text, hashes.
 
