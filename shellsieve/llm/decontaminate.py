@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellsieve.llm.tokens import LOWER, WHITE, Words, buffers, pieces
+from shellsieve.llm.tokens import LOWER, WHITE, Words, buffers, distinct, pieces
 
 ITEMS = 20_000
 _APART = WHITE.copy()
@@ -66,7 +66,7 @@ class BlockIndex:
             at = np.repeat(np.arange(len(asked)), n)
             inner = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             pairs.append(at * len(self.prints) + order[np.repeat(a, n) + inner])
-        pairs = np.unique(np.concatenate(pairs))
+        pairs = distinct(np.concatenate(pairs))
         at, item = pairs // len(self.prints), pairs % len(self.prints)
         near = np.bitwise_count(asked[at] ^ self.prints[item]) <= self.radius
         return at[near], item[near]
@@ -148,7 +148,7 @@ def _matches(items: Items, width: int, shingles: np.ndarray, hits: np.ndarray, l
     for n, at in around.items():
         own, index = items.groups[n]
         m = min(n - width + 1, len(shingles))  # shingles of a window; a short text is one window
-        starts = np.unique(np.concatenate([np.arange(max(0, p - m + 1), min(p, len(shingles) - m) + 1) for p in at]))
+        starts = distinct(np.concatenate([np.arange(max(0, p - m + 1), min(p, len(shingles) - m) + 1) for p in at]))
         for some in np.array_split(starts, -(-len(starts) // 4096)):
             a, b = int(some[0]), int(some[-1]) + m
             if b - a > 8 * (len(some) + m):  # sparse: take the windows one by one

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.llm.storage import written
+from shellsieve.llm.tokens import distinct
 
 BLANKS = " \t\n\x0b\x0c\r"
 PROBES = 2
@@ -52,10 +53,6 @@ def _positions(digests: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(digests[:, 0] + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)], 1)
 
 
-def _distinct(digests: np.ndarray) -> np.ndarray:
-    return np.unique(digests, axis=0) if len(digests) else digests
-
-
 def twice_filter(docs: DataFrame, least: int, bits: int, chunk_bits: int = 1 << 21) -> np.ndarray:
     """Packed bits of the keys that two documents or more may hold."""
     chunk_bits = min(bits, chunk_bits)
@@ -67,7 +64,7 @@ def twice_filter(docs: DataFrame, least: int, bits: int, chunk_bits: int = 1 <<
                 # A document counts once for each bit: a key's own repeats are not a repeat.
                 keys = {k for _, k in long_keys(text.as_py() or "", least)}
                 if keys:
-                    found.append(np.unique(_positions(_digests(list(keys)), bits)))
+                    found.append(distinct(_positions(_digests(list(keys)), bits).ravel()))
             at, n = np.unique(np.concatenate(found), return_counts=True)
             chunk = (at // np.uint64(chunk_bits)).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(at) else [0]
@@ -132,8 +129,10 @@ def drop_shared_lines(docs: DataFrame, least: int = 20, documents: int = 3, bits
 
     seen = written(source.mapInArrow(suspected, "a bigint, b bigint, doc_id bigint").distinct())
     shared = seen.groupBy("a", "b").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"))
+    # Written, so that both sides of the join are plain exchanges, whose hot keys Spark splits.
+    shared = written(shared.filter(F.col("n") >= documents).drop("n"))
     lost = (
-        seen.join(shared.filter(F.col("n") >= documents), ["a", "b"])
+        seen.join(shared, ["a", "b"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
         .groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
     )

@@ -11,25 +11,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shellsieve.session import work_folder
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_local: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a one-process session without it gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local:
-        _local[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
-    return _local[context.applicationId]
-
-
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the jobs inside go when each job ends."""
@@ -47,7 +35,7 @@ def written(df: DataFrame, *partitions: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a read, not the work before.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/steps/{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/steps/{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
