@@ -118,6 +118,11 @@ class SubwordClassifier:
             table = np.stack([np.zeros(self.buckets, np.float32), table[:, 1] - table[:, 0]], 1)
         for a, b in pieces(offsets):
             parts = Subwords(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], self.buckets, self.sizes)
+            if not self.sizes:  # a word is its only part: all classes in one look-up
+                sums = np.zeros((len(parts.bucket) + 1, self.classes))
+                np.cumsum(table[parts.bucket], axis=0, dtype=np.float64, out=sums[1:])
+                out[a:b] = (sums[parts.first[1:]] - sums[parts.first[:-1]]) / np.maximum(parts.counts, 1)[:, None]
+                continue
             n = parts.parts_per_word()
             for c in range(1 if self.classes == 2 else 0, self.classes):
                 word = np.bincount(parts.word, weights=table[:, c][parts.bucket], minlength=len(n)) / np.maximum(n, 1)

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.llm.classifier import SubwordClassifier, train
-from shellsieve.llm.storage import written
-from shellsieve.llm.tokens import Words, buffers, pieces
+from shellsieve.llm.storage import discard, written
+from shellsieve.llm.tokens import buffers, count_words, pieces
 
 TRAINING_ROWS = 4000
 STEPS = 25
@@ -87,7 +87,7 @@ def with_posteriors(docs: DataFrame, mixture: Mixture, text: str = "text",
         for batch in batches:
             data, offsets = buffers(batch.column(at))
             p = shared.value.probabilities(data, offsets)
-            words = [Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]).counts for a, b in pieces(offsets)]
+            words = [count_words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in pieces(offsets)]
             n = np.concatenate(words) if words else np.zeros(0, np.int64)
             posterior = pa.ListArray.from_arrays(np.arange(0, len(p) * k + 1, k, dtype=np.int32), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +138,21 @@ def fit_rates(docs: DataFrame, mixture: Mixture, weights: dict[str, float] | Non
     target is under ``floor`` times its tokens; with a floor of one every document stays
     and small domains are repeated.
     """
-    table = written(with_posteriors(docs, mixture, text, ()).select("__n_tokens", "__posterior"))
+    table = written(with_posteriors(docs, mixture, text, ()))
+    _fit(table, mixture, weights, temper, floor)
+    discard(table)
+    return mixture
+
+
+def fit_and_rate(docs: DataFrame, mixture: Mixture, weights: dict[str, float] | None = None, temper: float = 0.7,
+                 floor: float = 0.0, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """:func:`fit_rates` and :func:`with_rates` of the same rows, reading their texts once."""
+    table = written(with_posteriors(docs, mixture, text, keep))
+    _fit(table.select("__n_tokens", "__posterior"), mixture, weights, temper, floor)
+    return _shown(_rated(table, mixture, keep), keep)
+
+
+def _fit(table: DataFrame, mixture: Mixture, weights: dict[str, float] | None, temper: float, floor: float) -> None:
     mixture.steps, mixture.floor = [], floor
     totals, gram = _totals(table, mixture), _gram(table, mixture)
     shares = np.array([weights.get(d, 0.0) for d in mixture.domains]) if weights else totals**temper
@@ -154,18 +168,16 @@ def fit_rates(docs: DataFrame, mixture: Mixture, weights: dict[str, float] | Non
         mixture.steps.append(np.linalg.lstsq(gram, gap, rcond=1e-10)[0])
         totals = _totals(table, mixture)
     mixture.error = error
-    return mixture
 
 
-def _rated(docs: DataFrame, mixture: Mixture, text: str, keep: tuple[str, ...]) -> DataFrame:
+def _rated(scored: DataFrame, mixture: Mixture, keep: tuple[str, ...]) -> DataFrame:
     rate = F.lit(1.0)
     for step in mixture.steps:
         moves = F.zip_with("__posterior", F.array(*map(F.lit, map(float, step))), lambda p, s: p * s)
         rate = F.greatest(F.lit(float(mixture.floor)), rate - F.aggregate(moves, F.lit(0.0), lambda a, x: a + x))
     draw = F.pmod(F.xxhash64(F.lit("mixing"), *keep), F.lit(1 << 30)) / float(1 << 30)
     up = (draw < F.col("__rate") - F.floor("__rate")).cast("int")
-    scored = with_posteriors(docs, mixture, text, keep).withColumn("__rate", rate)
-    return scored.withColumn("__copies", (F.floor("__rate") + up).cast("int"))
+    return scored.withColumn("__rate", rate).withColumn("__copies", (F.floor("__rate") + up).cast("int"))
 
 
 def with_rates(docs: DataFrame, mixture: Mixture, text: str = "text",
@@ -177,13 +189,17 @@ def with_rates(docs: DataFrame, mixture: Mixture, text: str = "text",
     have no tokens and the posterior of the training shares; repeated rows have one rate.
     Other columns are not read.  An empty table gives an empty one.
     """
-    return _rated(docs, mixture, text, keep).select(
+    return _shown(_rated(with_posteriors(docs, mixture, text, keep), mixture, keep), keep)
+
+
+def _shown(rated: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return rated.select(
         *keep, F.col("__n_tokens").alias("n_tokens"), F.col("__posterior").alias("posterior"),
         F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
 def resample(docs: DataFrame, mixture: Mixture, text: str = "text") -> DataFrame:
     """``docs`` with every row as often as its copies say; all columns, whatever their names."""
-    rated = _rated(docs, mixture, text, tuple(docs.columns))
+    rated = _rated(with_posteriors(docs, mixture, text, tuple(docs.columns)), mixture, tuple(docs.columns))
     times = F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))).alias("__copy")
     return rated.select(*docs.columns, times).drop("__copy")

@@ -73,7 +73,7 @@ def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixture = mixing.train_domains(docs, mixing.domains_of(docs, _table(spark, sf_dir, "labels")))
-    rated = mixing.with_rates(docs, mixing.fit_rates(docs, mixture), keep=("doc_id",))
+    rated = mixing.fit_and_rate(docs, mixture)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return rated.select(
         "doc_id", "n_tokens", F.get(F.array(*map(F.lit, mixture.domains)), best - 1).alias("domain"),

@@ -38,6 +38,8 @@ def test_targets_are_met_and_rates_solve_the_least_squares(trained):
     assert np.allclose(totals, mixture.targets, atol=2e-3 * totals.sum())
     assert abs(mixture.targets.sum() - n.sum()) < 1
     assert np.allclose(mixture.rates(p), rate)
+    once = {(r.doc_id, r.rate, r.copies) for r in mixing.fit_and_rate(docs, mixture, weights).collect()}
+    assert once == {(r.doc_id, r.rate, r.copies) for r in mixing.with_rates(docs, mixture).collect()}
 
 
 def test_rates_at_zero_are_a_minimum(trained):
