@@ -35,9 +35,15 @@ def test_held_out_accuracy_and_misspellings(spark):
     truth = dict(labels)
     assert len(scored) > 100
     assert np.mean([truth[i] == p for i, p in scored.items()]) > 0.95
-    unseen = pa.array(["what a worthles idiotical thing to say to them", "what a lovely morning it is to say to them"])
-    bad, good = model.probabilities(*buffers(unseen))[:, 1]
-    assert bad > 0.5 > good
+    others, known = corpus(120, seed=99)
+    misspelt = {"idiotic": "idiotical", "worthless": "worthles", "disgusting": "disgustin", "pathetic": "patthetic"}
+    texts = [" ".join(misspelt.get(w, w) for w in t.split()) for _, t in others]
+    assert not any(w in INSULTS for t in texts for w in t.split())
+    score = model.probabilities(*buffers(pa.array(texts)))[:, 1]
+    toxic = np.array([t for _, t in known]) == 1
+    # None of these words was seen; what they share with seen ones ranks them above clean texts.
+    above = (score[toxic][:, None] > score[~toxic][None, :]).mean()
+    assert above > 0.9 and (score[~toxic] >= 0.5).mean() < 0.05
 
 
 def test_held_out_labels_do_not_matter(spark):
