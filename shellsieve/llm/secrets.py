@@ -15,7 +15,7 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -35,6 +35,13 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{
                       r"|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 _BASE64_URL = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+_MORE, _MORE_URL = re.compile(r"[A-Za-z0-9+/]+={0,2}"), re.compile(r"[A-Za-z0-9_-]+={0,2}")
+_LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*")
+_WRITTEN_END = re.compile(r"\\[nrt]")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Twelve characters are the shortest finding.
+_READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+_READABLE_16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -147,34 +154,94 @@ def _as_text(data: bytes) -> str | None:
     return text if text and seen * 20 >= 19 * len(text) else None
 
 
-def _base64(layer: Layer) -> list[Layer]:
-    out, text = [], layer.text
-    matches = list(_BASE64.finditer(text))
-    matches += [m for m in _BASE64_URL.finditer(text) if "-" in m[0] or "_" in m[0]]
-    for m in matches:
-        digits = m[0].rstrip("=")
-        digits = digits[: len(digits) - (len(digits) % 4 == 1)]
-        try:
-            data = base64.b64decode(digits.replace("-", "+").replace("_", "/") + "=" * (-len(digits) % 4), validate=True)
-        except binascii.Error:
+def _joined(text: str, pattern: re.Pattern, more: re.Pattern) -> Iterator[tuple[str, Sequence[int]]]:
+    """Runs of base64 and where each digit stands; lines of equal length are one run.
+
+    The first line may be of another length, as something may stand before it, and the last
+    may be shorter.
+    """
+    done = 0
+    for m in pattern.finditer(text):
+        if m.start() < done:
             continue
-        a, b = m.start(), m.start() + len(digits)
-        via, passed = "base64", set()
-        while (inside := _inflated(data)) is not None:  # compressed, perhaps more than once
-            data, via = inside, f"{via}>compressed"
-            mark = hashlib.blake2b(data, digest_size=16).digest()
+        parts, full, at = [m.span()], 0, m.end()
+        while text[at - 1] != "=" and (gap := _LINE_END.match(text, at)) and (n := more.match(text, gap.end())):
+            size = n.end() - n.start()
+            if full and size > full:
+                break
+            parts.append(n.span())
+            full, at = full or size, n.end()
+            if size < full:
+                break
+        done = at
+        digits = "".join(text[a:b] for a, b in parts).rstrip("=")
+        where = range(m.start(), m.end()) if len(parts) == 1 else [i for a, b in parts for i in range(a, b)]
+        yield digits, where
+
+
+def _holds(data: bytes, whole: bool) -> Iterator[tuple[str, Sequence[int] | None, str]]:
+    """Texts inside decoded bytes, the byte of each character (None: of all), and how it is held.
+
+    If the bytes as a whole are no text and no stream, the streams and the readable parts
+    that lie among others are taken: what precedes a run was decoded along with it.
+    """
+    begins = [0] if _inflated(data) is not None else [m.start() for m in _STREAM.finditer(data)]
+    for begin in begins:
+        inside, via, passed = data[begin:], "base64", set()
+        while (inner := _inflated(inside)) is not None:  # compressed, perhaps more than once
+            inside, via = inner, f"{via}>compressed"
+            mark = hashlib.blake2b(inside, digest_size=16).digest()
             if mark in passed:
                 break
             passed.add(mark)
-        found = _as_text(data)
-        if found is None:
+        if via != "base64" and (found := _as_text(inside)) is not None:
+            yield found, None, via
+    if begins == [0]:
+        return
+    found = _as_text(data) if whole else None
+    if found is not None:
+        yield found, range(len(data)) if len(found) == len(data) else None, "base64"
+        return
+    for m in _READABLE.finditer(data):
+        try:
+            found = m[0].decode()
+        except UnicodeDecodeError:
             continue
-        if via == "base64" and len(found) == len(data):  # one byte a character: exact ranges
-            lo = [layer.lo[a + i * 4 // 3] for i in range(len(found))]
-            hi = [layer.hi[min(b - 1, a + (i * 4 + 7) // 3 - 1)] for i in range(len(found))]
-        else:
-            lo, hi = [layer.lo[a]] * len(found), [layer.hi[b - 1]] * len(found)
-        out.append(Layer(found, lo, hi, f"{layer.via}>{via}".lstrip(">")))
+        at = [m.start() + i for i, v in enumerate(m[0]) if v & 0xC0 != 0x80]
+        yield found, at, "base64"
+    for m in _READABLE_16.finditer(data):
+        yield m[0].decode("utf-16-le"), range(m.start(), m.end(), 2), "base64"
+
+
+def _base64(layer: Layer) -> list[Layer]:
+    """What base64 runs hold, read from each of their first four digits."""
+    out, texts = [], [layer.text]
+    if "\\" in layer.text:  # the letter of a written-out line end is no digit
+        texts.append(_WRITTEN_END.sub(" \n", layer.text))
+    runs = {}
+    for text in texts:
+        for pattern, more in ((_BASE64, _MORE), (_BASE64_URL, _MORE_URL)):
+            for digits, where in _joined(text, pattern, more):
+                if pattern is _BASE64 or "-" in digits or "_" in digits:
+                    runs.setdefault((where[0], digits), where)
+    for (_, run), where in runs.items():
+        for off in range(4):
+            digits = run[off:]
+            digits = digits[: len(digits) - (len(digits) % 4 == 1)]
+            try:
+                data = base64.b64decode(
+                    digits.replace("-", "+").replace("_", "/") + "=" * (-len(digits) % 4), validate=True)
+            except binascii.Error:
+                continue
+            last = off + len(digits) - 1
+            for found, at, via in _holds(data, off == 0):
+                if at is not None:  # exact ranges
+                    ends = [*at[1:], at[-1] + (at[1] - at[0] if len(at) > 1 else 1)]
+                    lo = [layer.lo[where[off + i * 4 // 3]] for i in at]
+                    hi = [layer.hi[where[min(last, off + (i * 4 + 3) // 3 - 1)]] for i in ends]
+                else:
+                    lo, hi = [layer.lo[where[off]]] * len(found), [layer.hi[where[last]]] * len(found)
+                out.append(Layer(found, lo, hi, f"{layer.via}>{via}".lstrip(">")))
     return out
 
 

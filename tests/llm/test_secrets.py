@@ -69,6 +69,31 @@ def test_layers_are_unwrapped_and_mapped(name):
     assert how == via
 
 
+@pytest.mark.parametrize("before", ["/files/", "files/a/", "\\n", "q", "ab", "abc", "some/longer/path1/"])
+@pytest.mark.parametrize("held", [SECRET, gzip.compress(SECRET.encode(), mtime=0), SECRET.encode("utf-16-le")])
+def test_runs_begin_anywhere(before, held):
+    token = b64(held)
+    text = f"see {before}{token} there"
+    hits = [s for s in secrets.find_secrets(text) if s[0] == "assign" and not s[3]]
+    assert hits and all(4 <= a < b <= len(text) - 6 for _, a, b, *_ in hits)
+
+
+@pytest.mark.parametrize("columns", [64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_wrapped_runs_are_one(columns, end, packed):
+    inner = " ".join(f"word{i * 7919 % 1000}" for i in range(40)) + " " + SECRET + " and more words"
+    for shift in range(0, 60, 7):
+        token = b64(gzip.compress(("x" * shift + inner).encode(), mtime=0) if packed else "x" * shift + inner)
+        lines = end.join(token[i:i + columns] for i in range(0, len(token), columns))
+        text = f"head:{end}{lines}{end}tail of it"
+        hits = [s for s in secrets.find_secrets(text) if s[0] == "assign" and not s[3]]
+        assert any(b - a >= len(SECRET) for _, a, b, *_ in hits)
+        if not packed:
+            kept = text[min(h[1] for h in hits):max(h[2] for h in hits)].replace(end, "")
+            assert len(kept) <= len(b64(SECRET)) + 4
+
+
 def test_exact_ranges():
     text = f"x {percent('token=')}abcdefgh y"
     assert [s[1:3] for s in secrets.find_secrets(text) if s[0] == "assign"] == [(2, 2 + 18 + 8)]
