@@ -67,8 +67,19 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+BLOCK_NAMING = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+), grouped AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+         row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept FROM texts
+)
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM grouped
+"""
+
 ORACLE: dict[str, str] = {
     "op4_block_anchors": BLOCK_ANCHORS,
     "op8_bloom_lines": BLOOM_LINES,
     "op10_sorted_lists": SORTED_LISTS,
+    "op12_block_naming": BLOCK_NAMING,
 }
