@@ -77,9 +77,58 @@ WITH texts AS (
 SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM grouped
 """
 
+# CRC-32, byte by byte over a table of 256 values, of the UTF-8 bytes of a text.
+CRC_TABLE = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t
+)"""
+
+
+def crc(text: str) -> str:
+    bytes_ = (f"list_transform(range(0, octet_length(encode({text}))), "
+              f"lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)")
+    return (f"xor(list_reduce({bytes_}, lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1]), "
+            "4294967295), 4294967295)")
+
+
+# Every prefix of every rebuilt conversation; subtrees by listing each node's prefixes.
+EULER_TRIE = rf"""
+WITH {CRC_TABLE}, own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST,
+    sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), built AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+  FROM (SELECT *, {crc("conv_id::VARCHAR")} % 4 AS h FROM own, crc_table) c
+  LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), begun AS (
+  SELECT conv_id, d, list_slice(turns, 1, d) AS p, d = len(turns) AS at_end
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '') AS ids
+  FROM begun GROUP BY p, d
+), weighed AS (
+  SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].t, '[^ 	-]+')) END AS saved
+  FROM nodes
+), families AS (
+  SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), parents AS (
+  SELECT weighed.*, coalesce(n_children, 0) AS n_children FROM weighed LEFT JOIN families USING (p)
+), subtrees AS (
+  SELECT list_slice(p, 1, k) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM parents) GROUP BY 1
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+       sha256(n.ids) AS ends_sha256
+FROM parents n JOIN subtrees s USING (p) LEFT JOIN nodes u ON n.d > 0 AND u.p = list_slice(n.p, 1, n.d - 1)
+"""
+
 ORACLE: dict[str, str] = {
     "op4_block_anchors": BLOCK_ANCHORS,
     "op8_bloom_lines": BLOOM_LINES,
     "op10_sorted_lists": SORTED_LISTS,
     "op12_block_naming": BLOCK_NAMING,
+    "op13_euler_trie": EULER_TRIE,
 }

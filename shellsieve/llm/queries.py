@@ -20,6 +20,7 @@ from shellsieve.llm import (
     substrings,
     topk,
     toxicity,
+    trie,
 )
 from shellsieve.llm.storage import ship_package
 
@@ -99,10 +100,15 @@ def op12_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_euler_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"), every=20).drop("enter", "leave")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_skip_chain_pii, op2_simhash_pivots, op3_hypergeometric_shards, op4_block_anchors,
         op5_simhash_windows, op6_subword_toxicity, op7_soft_mixing, op8_bloom_lines,
         op9_nested_secrets, op10_sorted_lists, op12_block_naming,
+        op13_euler_trie,
     )
 }
