@@ -110,7 +110,8 @@ WITH {CRC_TABLE}, own AS (
          coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '') AS ids
   FROM begun GROUP BY p, d
 ), weighed AS (
-  SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].t, '[^ 	-]+')) END AS saved
+  SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].t, '[^ 	-
+]+')) END AS saved
   FROM nodes
 ), families AS (
   SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
@@ -125,10 +126,42 @@ SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_chil
 FROM parents n JOIN subtrees s USING (p) LEFT JOIN nodes u ON n.d > 0 AND u.p = list_slice(n.p, 1, n.d - 1)
 """
 
+# Near words share a word or a word less one letter; forms are followed to their end.
+PARTENUM_SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS told, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), told AS (
+  SELECT run, k, {crc("told")} AS h FROM counted, crc_table
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         sum(k)::BIGINT AS n
+  FROM told GROUP BY 1 HAVING sum(k) >= 5 AND length(word) >= 6
+), cuts AS (
+  SELECT word, n, word AS c FROM words
+  UNION SELECT word, n, substr(word, 1, k) || substr(word, k + 2) FROM (SELECT *, unnest(range(0, length(word))) AS k FROM words)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n
+  FROM cuts a JOIN cuts b ON a.c = b.c AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS m, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word
+), judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS ahead FROM judged
+  UNION ALL SELECT w.word, j.word, j.form FROM walk w JOIN judged j ON j.word = w.ahead
+)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, root FROM walk WHERE ahead IS NULL) USING (word)
+"""
+
 ORACLE: dict[str, str] = {
     "op4_block_anchors": BLOCK_ANCHORS,
     "op8_bloom_lines": BLOOM_LINES,
     "op10_sorted_lists": SORTED_LISTS,
+    "op11_partenum_spelling": PARTENUM_SPELLING,
     "op12_block_naming": BLOCK_NAMING,
     "op13_euler_trie": EULER_TRIE,
 }

@@ -17,6 +17,7 @@ from shellsieve.llm import (
     sharding,
     simhash,
     spans,
+    spelling,
     substrings,
     topk,
     toxicity,
@@ -95,6 +96,10 @@ def op10_sorted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op11_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[native] DataFrame functions only."""
     return naming.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -108,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_skip_chain_pii, op2_simhash_pivots, op3_hypergeometric_shards, op4_block_anchors,
         op5_simhash_windows, op6_subword_toxicity, op7_soft_mixing, op8_bloom_lines,
-        op9_nested_secrets, op10_sorted_lists, op12_block_naming,
-        op13_euler_trie,
+        op9_nested_secrets, op10_sorted_lists, op11_partenum_spelling,
+        op12_block_naming, op13_euler_trie,
     )
 }
