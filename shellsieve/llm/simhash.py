@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellsieve.llm.components import components
-from shellsieve.llm.storage import written
+from shellsieve.llm.storage import spare, written
 
 SEED = 42
 PIVOTS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 32, dtype=np.uint64)
@@ -205,12 +205,13 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     the one whose text hashes lowest stays.
     """
     # Two hashes of id and text name a row; they are the only columns that are grouped.
-    name = [F.xxhash64("doc_id", "text").alias("__a"), F.xxhash64("text", "doc_id").alias("__b")]
-    marked = near_duplicates(docs.select("doc_id", "text", *name), width, radius, keep=("__a", "__b"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "__a", "__b"))
-    chosen = marked.groupBy("root").agg(first.alias("row")).select("row.__a", "row.__b")
-    order = Window.partitionBy("__a", "__b").orderBy(F.lit(0))
+    a, b, n = spare(docs.columns, "a", "b", "n")
+    name = [F.xxhash64("doc_id", "text").alias(a), F.xxhash64("text", "doc_id").alias(b)]
+    marked = near_duplicates(docs.select("doc_id", "text", *name), width, radius, keep=(a, b))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", a, b))
+    chosen = marked.groupBy("root").agg(first.alias("row")).select(f"row.{a}", f"row.{b}")
+    order = Window.partitionBy(a, b).orderBy(F.lit(0))
     return (
-        docs.select("*", *name).join(chosen, ["__a", "__b"], "left_semi")
-        .withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
+        docs.select("*", *name).join(chosen, [a, b], "left_semi")
+        .withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).select(*docs.columns)
     )

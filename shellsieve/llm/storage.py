@@ -44,6 +44,15 @@ def written(df: DataFrame, *partitions: str) -> DataFrame:
     return table
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Column names that ``columns`` lacks: ``names``, underlined as often as it takes."""
+    taken = {c.lower() for c in columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that :func:`written` made and nothing reads any more."""
     spark = table.sparkSession

@@ -5,7 +5,7 @@ from shellsieve.llm.storage import ship_package
 
 CLASHES = (
     "fp root component_id least key choice q part kept n_words spans score predicted label matches found "
-    "rate copies n_tokens posterior shard slot lost a b id v size block ask rank n last"
+    "rate copies n_tokens posterior shard slot lost a b id v size block ask rank n last _a _b _n __a __b __n"
 ).split()
 
 
