@@ -333,6 +333,9 @@ def _splits(held, weights) -> str:
         FROM long l JOIN best b ON l.feature = b.feature AND (b.held = -1 OR l.fold = b.held))"""
 
 
+#: every row with the best split and its side of it
+_SIDED = """sided AS (SELECT l.v <= b.v AS goes_left, b.* FROM long l JOIN best b ON l.feature = b.feature)"""
+
 _BEAUTIFY = f"""WITH coded AS (
         SELECT event_id AS cmd_id, 'if ($x) {{' || props || '; ' || ({corpus.COMMAND})
             || ' | out-null; }}; ;}}' AS code FROM events),
@@ -395,6 +398,28 @@ ORACLE: dict[str, str] = {
         SELECT 'weight_' || CAST(weight AS INTEGER) AS weight,
             round(avg({_rate('5 * tp', '5 * tp + 4 * fn + fp')}), 6) AS f2
         FROM cells GROUP BY weight""",
+    "rf_split_nodes": f"""WITH {_splits([-1], [7.0])}, {_SIDED}
+        SELECT 0 AS node, -1 AS parent, 0 AS depth, feature, count(*) AS rows, round(any_value(st / wt), 6) AS share
+        FROM sided GROUP BY feature
+        UNION ALL SELECT CASE WHEN goes_left THEN 1 ELSE 2 END, 0, 1, NULL, count(*), round(any_value(
+            CASE WHEN goes_left THEN sl / wl ELSE (st - sl) / (wt - wl) END), 6) FROM sided GROUP BY goes_left""",
+    "rf_split_walk": f"""WITH {_splits([-1], [7.0])}
+        SELECT cmd_id, false AS closed, round(share, 6) AS share FROM leaves
+        UNION ALL SELECT cmd_id, true, (SELECT round(st / wt, 6) FROM best) FROM leaves""",
+    "rf_split_settings": f"""WITH {_splits([-1], [7.0])},
+        said AS (SELECT trees, depth, min_split, y AS malicious, CAST(CASE WHEN depth = 1 AND min_split = 2 THEN share
+            ELSE (SELECT st / wt FROM best) END >= 0.5 AS INTEGER) AS prediction
+            FROM leaves, (SELECT unnest([1, 2, 3]) AS trees), (SELECT unnest([0, 1]) AS depth),
+                (SELECT unnest([2, 1073741824]) AS min_split))
+        SELECT trees, depth, min_split, {_CELLS} FROM said GROUP BY trees, depth, min_split""",
+    "bootstrap_weights": f"""WITH {COMMANDS},
+        placed AS (SELECT tree, malicious, CAST('0x' || substr(sha256(cmd_id || ':' || tree || ':42'), 1, 13) AS BIGINT)::DOUBLE
+            / pow(16, 13) AS place FROM commands, (SELECT unnest(range(0, 55))::INTEGER AS tree)),
+        drawn AS (SELECT tree, malicious, len(list_filter(range(0, 13), lambda k: place >= exp(-1) * list_sum(
+            list_transform(range(0, k + 1), lambda j: 1 / gamma(j + 1))))) AS n FROM placed),
+        sizes AS (SELECT tree, sum(CASE WHEN malicious = 0 THEN n ELSE 0 END)::BIGINT AS n0,
+            sum(CASE WHEN malicious = 1 THEN n ELSE 0 END)::BIGINT AS n1 FROM drawn GROUP BY tree)
+        SELECT tree, n0, n1, round((n0 + n1) / (2 * n0), 6) AS w0, round((n0 + n1) / (2 * n1), 6) AS w1 FROM sizes""",
     "rf_cross_validation": f"""WITH {COMMANDS}, folded AS (SELECT malicious, {_folds('commands', 'cmd_id')})
         SELECT fold, count(*) AS n_rows, count(*) FILTER (malicious = 1) AS positives, true AS consistent
         FROM folded GROUP BY fold""",

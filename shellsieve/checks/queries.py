@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +15,9 @@ from shellsieve.functions import text as X
 from shellsieve.functions import times
 from shellsieve.operators import allowlist, evaluation, features, results, scoring
 from shellsieve.operators.barrier import seal
-from shellsieve.plans import hunt, train
+from shellsieve.plans import bagging, forest_table, hunt, search, train
 from shellsieve.schema import SCRIPT_BLOCK_EVENT
-from shellsieve.session import settle
+from shellsieve.session import settle, work_folder
 from shellsieve.sources import history, registry, script_blocks, tables
 from shellsieve.vocabulary import (
     DATASET_TEXT_LIMIT,
@@ -37,6 +39,11 @@ GRID = {
     "trees": (3, 6), "class_weight": (7.0, train.BALANCED), "criterion": ("gini", "entropy"),
     "depth": (3, 8), "min_leaf": (1, 2),
 }
+#: a reduced grid of the search, every dimension of ``train.FULL_SEARCH`` in it
+SEARCH = {
+    "trees": (2, 4), "class_weight": (7.0, train.SUBSAMPLE), "criterion": ("gini", "entropy"),
+    "depth": (5, 30), "min_leaf": (1,), "min_split": (2, 5),
+}
 #: a forest that SQL can grow: one tree of one split over all features
 ONE_SPLIT = train.ForestParams(trees=1, depth=1, bootstrap=False, features_per_split="all")
 ONE_SPLIT_GRID = {
@@ -642,3 +649,47 @@ def rf_split_validation(spark, sf_dir):
 def rf_split_grid(spark, sf_dir):
     report = train.grid_search(_whole_numbers(spark, sf_dir), "cmd_id", ONE_SPLIT_GRID).report
     return report.select(F.col("params")["weightCol"].alias("weight"), r6("f2").alias("f2"))
+
+
+@query
+def rf_split_nodes(spark, sf_dir):
+    """The fitted forest of one split as a table of nodes."""
+    nodes = forest_table.node_table(train.fit_forest(_whole_numbers(spark, sf_dir), ONE_SPLIT))
+    name = F.when(F.col("feature") >= 0, F.get(F.array(*map(F.lit, FEATURE_COLUMNS)), F.col("feature")))
+    return nodes.select("node", "parent", "depth", name.alias("feature"), "rows", r6("share").alias("share"))
+
+
+@query
+def rf_split_walk(spark, sf_dir):
+    """Scores by walking the node table; leaves that are too small a node to split are closed."""
+    table = settle(train.model_input(_whole_numbers(spark, sf_dir)))
+    nodes = forest_table.node_table(train.fit_forest(table, ONE_SPLIT))
+    total = table.count()
+    walks = [
+        forest_table.node_scores(table, forest_table.prune(nodes, limit), "cmd_id").withColumn("closed", F.lit(closed))
+        for closed, limit in ((False, total), (True, total + 1))
+    ]
+    return reduce(DataFrame.unionByName, walks).select("cmd_id", "closed", r6("leaf_share").alias("share"))
+
+
+@query
+def rf_split_settings(spark, sf_dir):
+    """Every tree count, depth and node size from one fit of three equal trees of one split."""
+    table = settle(train.model_input(_whole_numbers(spark, sf_dir)))
+    nodes = forest_table.node_table(train.fit_forest(table, replace(ONE_SPLIT, trees=3)))
+    return forest_table.settings_cells(table, nodes, "malicious", (1, 2, 3), (0, 1), (2, 1 << 30))
+
+
+@query
+def bootstrap_weights(spark, sf_dir):
+    """Class sizes and weights of the bootstraps of all trees of the final forest."""
+    labelled = corpus.commands(spark, sf_dir).select("cmd_id", "malicious")
+    sizes = bagging.class_sizes(labelled, "cmd_id", "malicious", train.ForestParams().trees, 42)
+    return sizes.withColumns({"w0": r6("w0"), "w1": r6("w1")})
+
+
+@query
+def rf_search(spark, sf_dir):
+    """The search over forests read off in every dimension, with weights per bootstrap."""
+    ledger = f"{work_folder(spark)}/ledgers/{uuid.uuid4().hex}"
+    return search.search(_training(spark, sf_dir), "cmd_id", ledger, SEARCH, k=2).report

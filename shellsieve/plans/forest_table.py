@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shellsieve.operators.scoring import LEAF_SHARE
-from shellsieve.session import release, work_folder
+from shellsieve.session import release, release_path, work_folder
 from shellsieve.vocabulary import FEATURE_COLUMNS
 
 NODES = (
@@ -64,33 +64,47 @@ def _placing():
     return place
 
 
-def node_table(model: PipelineModel) -> DataFrame:
+def node_table(*models: PipelineModel) -> DataFrame:
     """The nodes of a fitted forest, read from where the model is stored for it.
 
-    Give the table to ``session.release`` when nothing reads it any more.
+    Several models are united into one forest; their trees are numbered on, in the order
+    given.  :func:`drop_nodes` deletes what was stored when nothing reads the table any more.
     """
     spark = SparkSession.active()
-    path = f"{work_folder(spark)}/forests/{uuid.uuid4().hex}"
-    grower = _grower(model)[1]
-    grower.write().save(path)
+    start = f"{work_folder(spark)}/forests/{uuid.uuid4().hex}"
+    parts, before = [], 0
+    for i, model in enumerate(models):
+        grower = _grower(model)[1]
+        grower.write().save(f"{start}/{i}")
+        # Every model's nodes carry their stored number as a partition column of one table.
+        parts.append((i, before))
+        before += grower.getNumTrees
     data, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
     if isinstance(grower, RandomForestRegressionModel):
         weight, share = stats[0], data["prediction"]
     else:
         weight = F.aggregate(stats, F.lit(0.0), lambda a, s: a + s)
         share = stats[1] / weight
-    flat = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), data["id"].alias("node"), F.lit(-1).alias("parent"), F.lit(0).alias("depth"),
+    stored = spark.read.parquet(*[f"{start}/{i}/data" for i, _ in parts])
+    model_no = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)/data/[^/]*$", 1).cast("int")
+    offsets = F.array(*[F.lit(n) for _, n in parts])
+    flat = stored.select(
+        (F.col("treeID") + offsets[model_no]).cast("int").alias("tree"), data["id"].alias("node"),
+        F.lit(-1).alias("parent"), F.lit(0).alias("depth"),
         data["leftChild"].alias("left"), data["rightChild"].alias("right"),
         data["split"]["featureIndex"].alias("feature"), F.get(data["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         data["rawCount"].alias("rows"), weight.alias("weight"), share.alias("share"), data["gain"].alias("gain"),
         data["impurity"].alias("impurity"), data["prediction"].alias("prediction"), stats.alias("stats"))
     # A tree is a part of a model that one machine holds whole.
     table = flat.groupBy("tree").applyInPandas(_placing(), NODES)
-    table._settled_path = path
+    table._settled_path = start
     return table
 
 
+def drop_nodes(table: DataFrame) -> None:
+    release(table)
+
+
 def prune(nodes: DataFrame, min_split: int = 2, depth: int | None = None, trees: int | None = None) -> DataFrame:
     """The table as if grown with these limits; node numbers close up again.
 
@@ -145,16 +159,6 @@ def importance(nodes: DataFrame) -> DataFrame:
     ).orderBy(F.col("importance").desc(), "feature")
 
 
-def unite(tables: Sequence[DataFrame]) -> DataFrame:
-    """Node tables of several forests as one; trees are numbered on, in the order given."""
-    united, before = None, 0
-    for table in tables:
-        moved = table.withColumn("tree", (F.col("tree") + before).cast("int"))
-        united = moved if united is None else united.unionByName(moved)
-        before += table.agg(F.max("tree")).first()[0] + 1
-    return united
-
-
 def as_model(nodes: DataFrame, like: PipelineModel) -> PipelineModel:
     """The nodes as a model that Spark scores with, saves and loads; ``like`` gives the rest of it."""
     spark = nodes.sparkSession
@@ -178,9 +182,7 @@ def as_model(nodes: DataFrame, like: PipelineModel) -> PipelineModel:
     spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{new}/metadata")
     made = type(grower).load(new)
     for path in (old, new):
-        nodes._settled_path, kept = path, getattr(nodes, "_settled_path", None)
-        release(nodes)
-        nodes._settled_path = kept
+        release_path(spark, path)
     return PipelineModel([made if i == at else stage for i, stage in enumerate(like.stages)])
 
 

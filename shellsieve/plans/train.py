@@ -24,11 +24,15 @@ from shellsieve.operators.evaluation import add_folds, add_metrics, confusion, s
 from shellsieve.operators.features import add_features
 from shellsieve.operators.results import top
 from shellsieve.operators.scoring import LEAF_SHARE, VECTOR, assembler
+from shellsieve.plans.bagging import fit_subsampled
+from shellsieve.plans.forest_table import as_model, drop_nodes, node_table, prune
 from shellsieve.session import release, settle
 from shellsieve.vocabulary import FEATURE_COLUMNS, KEYWORDS
 
 LABEL = "malicious"
 BALANCED = "balanced"
+#: balanced within each tree's own bootstrap
+SUBSAMPLE = "balanced_subsample"
 
 
 @dataclass(frozen=True)
@@ -41,15 +45,19 @@ class ForestParams:
     ``"entropy"`` uses Spark's classifier, which merges sibling leaves that predict the same
     class and so blurs probabilities; Spark has no unmerged entropy.
 
-    ``class_weight`` is the weight of class 1 (class 0 weighs 1), or ``"balanced"``.
-    Spark has no smallest node size for a split, and 4 of the 23 features are tried
-    per split, which is what both root and logarithm round down to.
+    ``class_weight`` is the weight of class 1 (class 0 weighs 1), ``"balanced"``, or
+    ``"balanced_subsample"``: balanced within each tree's own bootstrap, which is then drawn by
+    the hash of a row's id (see ``plans.bagging``).  ``min_split`` is the smallest node that
+    may be split; Spark has no such setting, so smaller nodes are closed on the fitted node
+    table (see ``plans.forest_table``).  4 of the 23 features are tried per split, which is
+    what both root and logarithm round down to.
     """
 
     trees: int = 55
     depth: int = 30
     criterion: str = "gini"
     min_leaf: int = 1
+    min_split: int = 5
     min_gain: float = 0.0
     features_per_split: str = "4"
     class_weight: float | str = 7.0
@@ -69,6 +77,11 @@ FULL_GRID: dict[str, tuple] = {
     "depth": (25, 27, 30),
     "min_leaf": (1, 2),
 }
+#: What ``plans.search`` tries: in addition the smallest node for a split, and weights per bootstrap.
+FULL_SEARCH: dict[str, tuple] = FULL_GRID | {
+    "class_weight": (5.0, 7.0, 10.0, SUBSAMPLE),
+    "min_split": (2, 3, 5),
+}
 
 
 def build_dataset(
@@ -113,7 +126,7 @@ def add_weights(df: DataFrame, weights: Sequence[float | str]) -> DataFrame:
     """
     columns = {
         weight_column(w): F.when(F.col(LABEL) == 1, float(w)).otherwise(1.0)
-        for w in weights if w != BALANCED
+        for w in weights if w not in (BALANCED, SUBSAMPLE)
     }
     df = df.withColumns(columns) if columns else df
     if BALANCED not in weights:
@@ -154,15 +167,38 @@ def forest_pipeline(params: ForestParams = ForestParams()) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def fit_forest(features: DataFrame, params: ForestParams = ForestParams()) -> PipelineModel:
+def fit_table(table: DataFrame, params: ForestParams, id_column: str | None = None) -> PipelineModel:
+    """Fit on a written table that has the weight column of ``params``."""
+    if params.class_weight == SUBSAMPLE:
+        if id_column is None:
+            raise ValueError("bootstraps are drawn by a row's id: name its column")
+        single = replace(params, trees=1, bootstrap=False)
+        model = fit_subsampled(
+            table, id_column, LABEL, params.trees, params.seed, weight_column(SUBSAMPLE),
+            lambda rows, seed: forest_pipeline(replace(single, seed=seed)).fit(rows))
+    else:
+        model = forest_pipeline(params).fit(table)
+    if params.min_split <= 2:
+        return model
+    nodes = node_table(model)
+    try:
+        return as_model(prune(nodes, params.min_split), model)
+    finally:
+        drop_nodes(nodes)
+
+
+def fit_forest(
+    features: DataFrame, params: ForestParams = ForestParams(), id_column: str | None = None
+) -> PipelineModel:
     """Fit on all rows of a feature table.
 
     Growing a forest passes over its input several times before it caches it, so the
     numeric columns are written out first, and deleted when the model is there.
+    ``id_column`` is needed for weights per bootstrap alone.
     """
     table = settle(model_input(features))
     try:
-        return forest_pipeline(params).fit(add_weights(table, [params.class_weight]))
+        return fit_table(add_weights(table, [params.class_weight]), params, id_column)
     finally:
         release(table)
 
@@ -197,17 +233,18 @@ def training_table(
     if "fold" not in features.columns:
         tables.append(settle(add_folds(tables[0], id_column, LABEL, k, seed)))
     table = add_weights(tables[-1], weights).select(
-        id_column, *FEATURE_COLUMNS, LABEL, "fold", *[weight_column(w) for w in weights]
+        id_column, *FEATURE_COLUMNS, LABEL, "fold", *[weight_column(w) for w in weights if w != SUBSAMPLE]
     )
     return table, tables
 
 
 def held_out_predictions(
-    table: DataFrame, k: int = 5, params: ForestParams = ForestParams(), parallelism: int = 1
+    table: DataFrame, k: int = 5, params: ForestParams = ForestParams(), parallelism: int = 1,
+    id_column: str | None = None,
 ) -> DataFrame:
     """Every row with the prediction of the forest that did not see its fold."""
     def one_fold(fold: int) -> DataFrame:
-        model = forest_pipeline(params).fit(table.filter(F.col("fold") != fold))
+        model = fit_table(table.filter(F.col("fold") != fold), params, id_column)
         return model.transform(table.filter(F.col("fold") == fold))
 
     if parallelism > 1:
@@ -228,7 +265,7 @@ def cross_validate(
     """Matrix and metrics of every held-out fold, computed now: ``k`` rows."""
     table, written = training_table(features, id_column, k, params.seed, [params.class_weight])
     try:
-        metrics = add_metrics(confusion(held_out_predictions(table, k, params, parallelism)))
+        metrics = add_metrics(confusion(held_out_predictions(table, k, params, parallelism, id_column)))
         return table.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
     finally:
         for part in written:

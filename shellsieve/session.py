@@ -66,8 +66,11 @@ def settle(df: DataFrame) -> DataFrame:
     return table
 
 
+def release_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(table: DataFrame) -> None:
     """Delete what :func:`settle` wrote, once nothing reads it any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._settled_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release_path(table.sparkSession, table._settled_path)

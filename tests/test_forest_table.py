@@ -120,7 +120,11 @@ def test_prefix_shares_are_running_means(rows, nodes):
         assert r.means == pytest.approx([np.mean(r.shares[:n]) for n in (1, 7, 55)])
 
 
-def test_united_forests_number_their_trees_on(nodes):
-    a = forest_table.prune(nodes["gini"], trees=2)
-    both = forest_table.unite([a, a])
-    assert [r.tree for r in both.select("tree").distinct().orderBy("tree").collect()] == [0, 1, 2, 3]
+def test_united_forests_number_their_trees_on(rows, fitted):
+    both = forest_table.node_table(fitted["gini"], fitted["gini"])
+    one = forest_table.node_table(fitted["gini"])
+    shares = [{r.cmd_id: r.leaf_share for r in forest_table.node_scores(rows, t, "cmd_id").collect()} for t in (one, both)]
+    assert both.select("tree").distinct().count() == 110
+    assert shares[0] == pytest.approx(shares[1], abs=1e-12)
+    for table in (one, both):
+        forest_table.drop_nodes(table)

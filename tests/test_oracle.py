@@ -31,7 +31,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES) <= set(entry.queries())
     assert ORACLE.items() <= entry.oracle_sql().items()
     assert set(QUERIES) - set(ORACLE) == {
-        "rf_scores", "rf_importance", "rf_grid",
+        "rf_scores", "rf_importance", "rf_grid", "rf_search",
     }
 
 

@@ -188,7 +188,7 @@ def test_full_grid():
     assert len(grid) == len(set(grid)) == 14 * 4 * 2 * 3 * 2
     assert train.ForestParams() in grid
     with pytest.raises(ValueError):
-        train.expand_grid({"min_split": (2, 3)})
+        train.expand_grid({"no_such_setting": (2, 3)})
 
 
 def test_grid_search(features):
