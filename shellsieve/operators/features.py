@@ -27,6 +27,7 @@ from shellsieve.vocabulary import (
 )
 
 MATCH_TEXT = "match_text"
+ENTROPY = "entropy_log_length"
 HELPERS = ("has_crypto", "has_file_mod", "has_discovery")
 
 _CONCATENATION = (
@@ -118,7 +119,6 @@ def add_features(
     flagged = matched.select(
         *keep,
         *([MATCH_TEXT] if helpers else []),
-        X.entropy_log_length(raw).alias("entropy_log_length"),
         X.upper_case_ratio(raw).alias("upper_case_ratio"),
         *[flag.alias(name) for name, flag in keyword_flags(raw, match, keywords).items()],
     )
@@ -129,7 +129,9 @@ def add_features(
     )
     dense = numeric.withColumn("danger_density", reduce(add, map(F.col, FLAG_COLUMNS)))
     extra = (MATCH_TEXT, *HELPERS) if helpers else ()
-    return seal(dense.select(*keep, *FEATURE_COLUMNS, *extra), (*FEATURE_COLUMNS, *extra))
+    sealed = (*(c for c in FEATURE_COLUMNS if c != ENTROPY), *extra)
+    flags = seal(dense.select(*keep, *sealed), sealed)
+    return flags.withColumn(ENTROPY, X.entropy_log_length(raw)).select(*keep, *FEATURE_COLUMNS, *extra)
 
 
 def feature_frame(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shellsieve.checks import corpus
+from shellsieve.checks.queries import QUERIES
 from shellsieve.operators import evaluation
 from shellsieve.operators.allowlist import mark_trusted
 from shellsieve.operators.features import add_features
@@ -41,16 +42,25 @@ STEPS = {
 }
 
 
-@pytest.mark.parametrize("make", [
-    lambda c: add_features(c).filter("has_iex = 1 and danger_density > 0 and has_bypass = 0"),
-    lambda c: score_commands(c, base_score=F.length("command")).filter("is_malicious"),
-    lambda c: find_malicious(c, base_score=F.length("command")),
-    lambda c: report_commands(c, base_score=F.length("command")).filter("score > 10 or level = 'x'"),
+@pytest.mark.parametrize("make, workers", [
+    (lambda c: add_features(c).filter("has_iex = 1 and danger_density > 0 and has_bypass = 0"), 1),
+    (lambda c: score_commands(c, base_score=F.length("command")).filter("is_malicious"), 1),
+    (lambda c: find_malicious(c, base_score=F.length("command")), 0),
+    (lambda c: report_commands(c, base_score=F.length("command")).filter("score > 10 or level = 'x'"), 1),
 ])
-def test_each_text_step_is_planned_once(commands, make):
+def test_each_text_step_is_planned_once(commands, make, workers):
     plan = physical(make(commands))
     assert {step: plan.count(mark) for step, mark in STEPS.items() if plan.count(mark) > 1} == {}
-    assert plan.count("ArrowEvalPython") == 1 and "(?iU)" in plan  # the entropy, on Arrow batches
+    assert plan.count("ArrowEvalPython") == workers and "(?iU)" in plan  # the entropy, on Arrow batches
+
+
+@pytest.mark.parametrize("name", [
+    "danger_density", "combo_flags", "keyword_flags", "active_flags", "carrier_features", "heuristics", "verdict",
+    "script_check", "findings_sorted", "findings_table", "findings_by_date", "findings_by_source", "findings_top",
+    "f2_by_threshold",
+])
+def test_flags_and_rules_start_no_python_worker(spark, name):
+    assert "Python" not in physical(QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
 def test_scan_reads_only_what_it_needs_and_filters_before_features(commands):
