@@ -531,6 +531,7 @@ ORACLE: dict[str, str] = {
             AND length(key_path) - length(replace(key_path, chr(92), '')) = 1
             AND {_STORAGE_KEY} NOT IN ({', '.join(map(text, SKIPPED_STORAGE))})
             AND (length(value_data) > 500 OR {any_of('lower(value_data)', STORAGE_WORDS)})""",
+    "registry_export": f"WITH {_REGISTRY} SELECT hive_id, key_path, value_name, value_data FROM vals",
     "event_times": """SELECT event_id, CASE event_id % 6
         WHEN 2 THEN 'weird' WHEN 3 THEN 'N/D' WHEN 5 THEN 'N/D'
         ELSE strftime(ts, '%d-%m-%Y %H:%M:%S') END AS shown FROM events""",

@@ -19,6 +19,7 @@ from shellsieve.plans import bagging, forest_table, hunt, search, train
 from shellsieve.schema import SCRIPT_BLOCK_EVENT
 from shellsieve.session import settle, work_folder
 from shellsieve.sources import history, registry, script_blocks, tables
+from shellsieve.sources.registry_export import export_values
 from shellsieve.vocabulary import (
     DATASET_TEXT_LIMIT,
     DETAIL_COLUMNS,
@@ -493,6 +494,22 @@ def storage_filter(spark, sf_dir):
     return registry.storage_entries(values).drop("cmd_id", "event_ts")
 
 
+@query
+def registry_export(spark, sf_dir):
+    """The registry values as lines of text exports, cut into ranges that part keys and values."""
+    def escaped(column: str) -> Column:
+        return F.regexp_replace(column, r'(["\\])', r'\\$1')
+
+    header = F.concat(F.lit("[HKEY_CURRENT_USER\\"), "key_path", F.lit("]"))
+    value = F.concat(F.lit('"'), escaped("value_name"), F.lit('"="'), escaped("value_data"), F.lit('"'))
+    lines = registry_values(spark, sf_dir).select(
+        F.col("hive_id").alias("origin"), F.col("value_id"), F.posexplode(F.array(header, value)).alias("at", "text"))
+    line = 2 * F.col("value_id") + F.col("at")
+    ranged = lines.select(
+        "origin", line.alias("line"), ((line - line % 7) * 100).alias("block"), F.col("text").cast("binary").alias("value"))
+    return export_values(ranged, "utf-8").drop("key_ts")
+
+
 @query
 def event_times(spark, sf_dir):
     """Exported event times in usual and odd forms."""

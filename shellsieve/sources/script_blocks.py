@@ -12,8 +12,11 @@ from shellsieve.vocabulary import EVENT_SOURCE, SCRIPT_BLOCK_FIELD
 from shellsieve.vocabulary import SCRIPT_BLOCK_EVENT as SCRIPT_BLOCK_ID
 
 
-def script_block_entries(events: DataFrame) -> DataFrame:
-    """Entries from event records; every script text of an event is one entry."""
+def script_block_entries(events: DataFrame, numbered: bool = True) -> DataFrame:
+    """Entries from event records; every script text of an event is one entry.
+
+    A stream cannot be ``numbered``.
+    """
     time = F.col("System.TimeCreated._SystemTime")
     computer = F.col("System.Computer")
     blocks = (
@@ -24,7 +27,7 @@ def script_block_entries(events: DataFrame) -> DataFrame:
     )
     command = X.strip(F.replace(F.col("data._VALUE"), F.lit("\n"), F.lit(" ")))
     return blocks.select(
-        F.monotonically_increasing_id().alias("cmd_id"),
+        *([F.monotonically_increasing_id().alias("cmd_id")] if numbered else []),
         F.lit(EVENT_SOURCE).alias("source"),
         command.alias("command"),
         event_time(F.col("time")).alias("event_ts"),
@@ -34,30 +37,29 @@ def script_block_entries(events: DataFrame) -> DataFrame:
     )
 
 
-def read_event_xml(
-    spark: SparkSession, path: str | list[str], one_event_per_line: bool = True
-) -> DataFrame:
-    """Event records of XML files; a record that cannot be read has null fields.
+#: where a record ends; files are cut into tasks at any byte and read on to the next one
+RECORD_END = "</Event>"
+#: from the last record start of what stands before an end: an unclosed record before it stays out
+_RECORD = r"(?s)^.*(<Event[\s>].*)$"
+
+
+def read_event_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Event records of XML files, on one line or over several.
 
-    Exporters write one event per line, and such files are split between tasks.  Files
-    whose events run over several lines need ``one_event_per_line=False``, which reads one
-    file per task.
+    The record's end is the line end of the reader, so a file is split between tasks inside
+    and every record is whole in one of them.  A record that cannot be read has null fields; it
+    takes no other record with it, nor does one that is never closed.
     """
-    if one_event_per_line:
-        options = {"rowTag": "Event", "ignoreSurroundingSpaces": "false"}
-        record = F.from_xml(F.col("value"), SCRIPT_BLOCK_EVENT, options)
-        return spark.read.text(path).select(record.alias("event")).select("event.*")
-    return (
-        spark.read.format("xml")
-        .option("rowTag", "Event")
-        .option("mode", "PERMISSIVE")
-        .option("ignoreSurroundingSpaces", "false")
-        .schema(SCRIPT_BLOCK_EVENT)
-        .load(path)
-    )
+    return parse_records(spark.read.option("lineSep", RECORD_END).text(path))
+
+
+def parse_records(chunks: DataFrame) -> DataFrame:
+    """Event records from what stands before each record's end (``value``)."""
+    options = {"rowTag": "Event", "ignoreSurroundingSpaces": "false"}
+    records = chunks.select(F.regexp_extract("value", _RECORD, 1).alias("record")).filter("record <> ''")
+    parsed = F.from_xml(F.concat("record", F.lit(RECORD_END)), SCRIPT_BLOCK_EVENT, options)
+    return records.select(parsed.alias("event")).select("event.*")
 
 
-def read_script_blocks(
-    spark: SparkSession, path: str | list[str], one_event_per_line: bool = True
-) -> DataFrame:
-    return script_block_entries(read_event_xml(spark, path, one_event_per_line))
+def read_script_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return script_block_entries(read_event_xml(spark, path))

@@ -150,6 +150,8 @@ SKIPPED_STORAGE = ("Microsoft", "Classes", "Policies")
 STORAGE_WORDS = ("iex", "bypass", "-enc", "powershell")
 STORAGE_LENGTH = 500
 UNNAMED_VALUE = "(default)"
+#: how a value without data reads
+NO_DATA = "None"
 NO_TIME = "N/D"
 BAD_TIME = "Timestamp Errato"
 FILE_TIME_SUFFIX = " (File)"

@@ -95,7 +95,7 @@ def test_script_blocks(spark, tmp_path, one_per_line):
     lines = ([*EVENTS[:3], broken, *EVENTS[3:]] if one_per_line
              else ["<Events>", *EVENTS, "</Events>"])
     path = put(tmp_path / "events.xml", "\n".join(lines).encode())
-    rows = read_script_blocks(spark, path, one_per_line).orderBy("cmd_id").collect()
+    rows = read_script_blocks(spark, path).orderBy("cmd_id").collect()
     assert [(r.command, r.timestamp) for r in rows] == EXPECTED_EVENTS
     assert {r.source for r in rows} == {"PS_Operational.evtx (EID 4104)"}
     assert rows[2].event_ts is None and rows[0].event_ts == datetime(2024, 1, 2, 3, 4, 5)
@@ -237,7 +237,7 @@ def test_preparation_differs_between_training_and_scan(spark):
 
 def test_union_of_sources(spark, tmp_path):
     history = read_history(spark, put(tmp_path / "h.txt", b"one\ntwo\none\n"))
-    events = read_script_blocks(spark, put(tmp_path / "e.xml", EVENTS[0].encode()), True)
+    events = read_script_blocks(spark, put(tmp_path / "e.xml", EVENTS[0].encode()))
     values = registry_entries(registry(spark))
     union = combine_sources(history, events, values)
     assert union.count() == 3 + 1 + 6
