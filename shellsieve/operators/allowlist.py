@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shellsieve.functions import text as X
 from shellsieve.operators.barrier import seal
-from shellsieve.session import settle
+from shellsieve.session import release, settle
 from shellsieve.vocabulary import (
     BUILT_IN_COMMANDS,
     EVASION_WORDS,
@@ -63,6 +63,10 @@ def add_allow_rule(df: DataFrame, text: str, source: str = "source") -> DataFram
     return seal(ruled, ["allow_rule"])
 
 
+def _fits(hashes: DataFrame, rows: int) -> bool:
+    return hashes.limit(rows + 1).count() <= rows
+
+
 def mark_trusted(
     scripts: DataFrame,
     content: str = "content",
@@ -72,23 +76,25 @@ def mark_trusted(
     """Add ``sha256``, ``is_trusted`` and ``trust_reason`` to whole scripts.
 
     Without ``trusted`` (one column, ``sha256``) the built-in list is used.  A list is
-    written out once and broadcast only if a bounded count shows that it is small.  Beyond
-    that both sides shuffle by hash; adaptive execution splits the partition of a script
-    that is found on a third of all hosts, as this is the left side of a left join.
+    written out once and broadcast only if a bounded count shows that it is small.  Of a longer
+    one only the hashes that scripts have are needed: distinct hashes, without texts, are
+    exchanged to find them, and they are broadcast if they are few.  Beyond that both sides
+    shuffle by hash; adaptive execution splits the partition of a script that is found on a
+    third of all hosts, as this is the left side of a left join.
     """
     hashed = scripts.withColumn("sha256", X.sha256_hex(F.col(content)))
     if trusted is None:
         marked = hashed.withColumn("is_trusted", F.col("sha256").isin(*TRUSTED_HASHES))
     else:
         listed = settle(trusted.select(F.col("sha256").alias("__listed")).distinct())
-        if listed.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            joined = hashed.join(
-                F.broadcast(listed), F.col("sha256") == F.col("__listed"), "left"
-            )
-        else:
-            joined = hashed.join(
-                listed.hint("merge"), F.col("sha256") == F.col("__listed"), "left"
-            )
+        small = _fits(listed, broadcast_rows)
+        if not small:
+            present = hashed.select(F.col("sha256").alias("__listed")).distinct()
+            met = settle(listed.hint("merge").join(present, "__listed", "left_semi"))
+            release(listed)
+            listed, small = met, _fits(met, broadcast_rows)
+        side = F.broadcast(listed) if small else listed.hint("merge")
+        joined = hashed.join(side, F.col("sha256") == F.col("__listed"), "left")
         marked = joined.withColumn("is_trusted", F.col("__listed").isNotNull()).drop("__listed")
     reason = F.format_string(REASON_TRUSTED, F.substring("sha256", 1, 8))
     return marked.withColumn("trust_reason", F.when(F.col("is_trusted"), reason).otherwise(""))

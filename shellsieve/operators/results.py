@@ -14,7 +14,7 @@ STREAM_TIE_BREAK = ("origin", "timestamp", "source", "command")
 
 def tie_break(df: DataFrame) -> list[str]:
     if TIE_BREAK not in df.columns:
-        return list(STREAM_TIE_BREAK)
+        return [*(c for c in ("source_no",) if c in df.columns), *STREAM_TIE_BREAK]
     return [c for c in ("source_no", TIE_BREAK) if c in df.columns]
 
 

@@ -83,6 +83,20 @@ def test_hash_join_strategies(spark, commands):
     assert "SortMergeJoin" in large and "Cartesian" not in large and "NestedLoop" not in large
 
 
+def test_a_long_hash_list_moves_no_script_text(spark, commands):
+    """A thousand listed hashes, of which scripts have a few: those are broadcast."""
+    present = commands.filter("cmd_id < 60").select(F.sha2("command", 256).alias("sha256"))
+    long = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("sha256")).unionByName(present)
+    marked = mark_trusted(commands, "command", long, broadcast_rows=100)
+    plan = physical(marked)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning" not in plan
+    whole = mark_trusted(commands, "command", long, broadcast_rows=2000)
+    key = ["cmd_id", "is_trusted", "trust_reason"]
+    assert sorted(marked.select(key).collect()) == sorted(whole.select(key).collect())
+    assert marked.filter("is_trusted").count() >= 60
+
+
 def test_scan_with_a_forest_plans_each_step_once(spark, commands):
     features = train.build_dataset(commands.select("cmd_id", "command", "malicious"))
     model = train.fit_forest(features, train.ForestParams(trees=3, depth=3))

@@ -1,5 +1,6 @@
 """The scan as a stream gives what the batch scan gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shellsieve.checks import corpus
@@ -7,7 +8,18 @@ from shellsieve.operators.results import display_columns, order_findings, shown_
 from shellsieve.plans import train
 from shellsieve.plans.hunt import find_malicious, score_commands
 from shellsieve.sources.history import read_history
-from shellsieve.streaming.scan import append_findings, stream_findings, watch_history
+from shellsieve.schema import REGISTRY_VALUE
+from shellsieve.streaming.scan import (
+    append_findings,
+    keep_ranking,
+    read_ranking,
+    stream_findings,
+    watch_all,
+    watch_events,
+    watch_history,
+    watch_registry,
+)
+from test_sources import block, event
 
 LINES = ["ls", "iex (amsiutils)", "git status", "Set-MpPreference x", "notes"]
 
@@ -62,6 +74,38 @@ def test_stream_with_a_forest(spark, tmp_path):
     assert key(streamed) == key(batch) and batch.count() >= 9
 
 
+def test_all_sources_as_streams_with_a_kept_ranking(spark, tmp_path):
+    """Batch by batch the ranking is that of all that is stored; a batch run again is stored once."""
+    folders = {name: tmp_path / name for name in ("h", "e", "r")}
+    for folder in folders.values():
+        folder.mkdir()
+    for i in range(3):
+        (folders["h"] / f"h{i}.txt").write_text("\n".join(f"{line} {i}" for line in LINES))
+        (folders["e"] / f"e{i}.xml").write_text("<Events>" + event(block(f"iex{chr(10)} {i}")) * 2 + "</Events>")
+    values = [("hive", r"Software\Foo", None, f"v{i}", f"powershell {'x' * i}") for i in range(5)]
+    spark.createDataFrame(values, REGISTRY_VALUE).write.mode("append").parquet(str(folders["r"]))
+    base = F.length("command") * 7 % 60
+    entries = watch_all(
+        watch_history(spark, str(folders["h"]), 1), watch_events(spark, str(folders["e"]), 1), None,
+        watch_registry(spark, str(folders["r"]), 1))
+    out = str(tmp_path / "out")
+
+    def run(check):
+        keep_ranking(stream_findings(entries, base_score=base), out, str(tmp_path / check), n=5, until_caught_up=True).awaitTermination()
+        stored = spark.read.parquet(f"{out}/findings").drop("batch")
+        shown = ["source_no", "command", "score", "origin"]
+        ranked = [tuple(r) for r in read_ranking(spark, out).select(shown).collect()]
+        assert ranked == [tuple(r) for r in order_findings(stored).limit(5).select(shown).collect()]
+        return stored.count(), ranked
+
+    first = run("check")
+    assert first[0] > 5 and {r[0] for r in first[1]} <= {0, 1, 3}
+    # Without its checkpoint the stream runs all batches again, into the same folders.
+    assert run("again") == first
+    with pytest.raises(ValueError):
+        watch_all(None)
+
+
 def test_halves_are_shown_even(spark):
     frame = spark.createDataFrame([(53.125,), (53.135,), (0.375,), (100.0,)], "score double")
     shown = [r[0] for r in frame.select(shown_percent(F.col("score"))).collect()]
