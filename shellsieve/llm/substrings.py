@@ -225,8 +225,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
     input.  Words are parted by ASCII white space and joined by one blank in ``kept``.
     Null and empty texts have no words; null ids come after all ids; rows that repeat an
     id do not make each other's words go, as neither id is smaller.  Other columns are not
-    read.  Equality of runs is that of 64-bit hashes within a partition, which itself
-    takes further bits.  An empty table gives an empty one.
+    read.  Runs are taken as equal if their 64-bit hashes are; the partition takes bits of
+    the same hash.  Different runs share one by chance alone, about ``n * n / 2**65`` pairs among
+    ``n`` distinct runs.  An empty table gives an empty one.
     """
     block = window // 2
     if window < 2:

@@ -1,9 +1,11 @@
 """Splitting and hashing of UTF-8 texts held in Arrow buffers, whole batches at a time.
 
-A word's hash is a polynomial over its bytes and a window's hash a polynomial over its
-words' hashes, both modulo 2**64 and taken as differences of running sums, so no Python
-object is made for a word.  Each hash is mixed afterwards; equal words and windows always
-have equal hashes.
+A word's hash is the sum, modulo 2**64, of a mixed number for each byte at its place in the
+word.  (A polynomial over the bytes would not do: modulo a power of two there are pairs of
+words that collide whatever its base.)  A window's hash is a polynomial over its words'
+hashes.  Both are differences of running sums, so no Python object is made for a word.  Each
+hash is mixed afterwards; equal words and windows always have equal hashes, and different
+ones share one of 2**64 by chance.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240613))
 _BYTE_VALUE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-_BASES = {"word": 0x9E3779B97F4A7C15 | 1, "window": 0xD6E8FEB86659FD93 | 1}
+_PLACE_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASES = {"window": 0xD6E8FEB86659FD93 | 1}
 _powers: dict[tuple[str, bool], np.ndarray] = {}
 
 
@@ -137,9 +140,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         n = len(self.data)
+        place = np.arange(n, dtype=np.uint64)
+        lengths = np.diff(np.r_[self.starts, n])
+        if len(self.starts):
+            place[self.starts[0]:] -= np.repeat(self.starts, lengths).astype(np.uint64)
+        # One round of mixing for each byte and place: nonlinear, so that no pattern cancels out.
+        place *= _PLACE_STEP
+        place ^= _BYTE_VALUE[self.data]
+        place ^= place >> np.uint64(32)
+        place *= np.uint64(0xD6E8FEB86659FD93)
+        place ^= place >> np.uint64(32)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * _power("word", False, n), out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * _power("word", True, n + 1)[self.starts])
+        np.cumsum(place, out=sums[1:])
+        return mix(sums[self.ends] - sums[self.starts])
 
     def windows(self, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``size`` words within one text."""

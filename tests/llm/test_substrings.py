@@ -51,3 +51,12 @@ def test_edge_rows(edge, edge_rows):
     assert by_id[5][1] == by_id[5][2] == 60_000 and by_id[5][3] == ""
     assert by_id[4][2] == 0  # w997x89 repeats after 88,733 words only
     assert remove_repeats(edge.limit(0)).count() == 0
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    """1,024 letters in the order of digit sums and its complement: equal modulo 2**64 under every base."""
+    sums = [i.bit_count() % 2 for i in range(1024)]
+    one, other = ("".join(letters[s] for s in sums) for letters in ("ab", "ba"))
+    rows = [(1, " ".join([*["w"] * 19, one])), (2, " ".join([*["w"] * 19, other])), (3, " ".join([*["w"] * 19, one]))]
+    got = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=20).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
