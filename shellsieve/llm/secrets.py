@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import DataFrame
 
 from shellsieve.llm.spans import Found, annotate, ordered
 
 KINDS = ("assign", "access", "hex")
-LAYER_LIMIT = 64 << 20
+#: A compressed layer is held whole up to here; a larger one is read in overlapping pieces.
+LAYER_BYTES, PIECE_BYTES, OVERLAP_BYTES = 16 << 20, 8 << 20, 1 << 20
 
 _ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -38,7 +41,10 @@ _BASE64_URL = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
 _MORE, _MORE_URL = re.compile(r"[A-Za-z0-9+/]+={0,2}"), re.compile(r"[A-Za-z0-9_-]+={0,2}")
 _LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*")
 _WRITTEN_END = re.compile(r"\\[nrt]")
-_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+#: bytes written as URL escapes, with those that need none
+_URL_BYTES = re.compile(r"(?<![A-Za-z0-9_.~+/-])[A-Za-z0-9_.~+/-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/-]*+){8,}+")
+_HEX_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}")
 #: Twelve characters are the shortest finding.
 _READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 _READABLE_16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}")
@@ -126,16 +132,98 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode, name: str) -> list[Layer
     return out
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """What a gzip or zlib stream holds; None if it is none or larger than a layer may be."""
-    if not (data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and data[1:2] in b"\x01\x5e\x9c\xda" and len(data) > 2)):
-        return None
-    stream = zlib.decompressobj(wbits=47)
+def _is_raw(data: bytes) -> bool:
+    stream = zlib.decompressobj(wbits=-15)
     try:
-        out = stream.decompress(data, LAYER_LIMIT)
+        out = stream.decompress(data, LAYER_BYTES)
     except zlib.error:
-        return None
-    return None if stream.unconsumed_tail else out
+        return False
+    return len(out) > 12 and (stream.eof or bool(stream.unconsumed_tail))
+
+
+class _Same:
+    """A sequence of one value: every character of a compressed layer stems from all of it."""
+
+    def __init__(self, value: int, size: int):
+        self.value, self.size = value, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        return [self.value] * len(range(*at.indices(self.size))) if isinstance(at, slice) else self.value
+
+
+def _decompressor(data: memoryview, raw: bool):
+    head = bytes(data[:10])
+    if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 2 and head[1:2] in b"\x01\x5e\x9c\xda"):
+        return zlib.decompressobj(wbits=47)
+    if _STREAM.match(head):
+        return bz2.BZ2Decompressor()
+    return zlib.decompressobj(wbits=-15) if raw else None
+
+
+def _inflating(data: bytes | memoryview, raw: bool = False) -> Iterator[bytes]:
+    """What a gzip, zlib or bzip2 stream (or a raw one) holds, a piece at a time.
+
+    The members of a stream of several follow each other.  A stream that breaks off gives
+    what it holds until there; bytes that are no stream give nothing.
+    """
+    rest = memoryview(data)
+    while len(rest) and (stream := _decompressor(rest, raw)) is not None:
+        given = rest
+        while not stream.eof:
+            try:
+                out = stream.decompress(given, PIECE_BYTES)
+            except (zlib.error, OSError, EOFError):
+                return
+            if out:
+                yield out
+            given = getattr(stream, "unconsumed_tail", b"")
+            if not out and not given:
+                break
+        if not stream.eof or raw:
+            return
+        rest = memoryview(stream.unused_data)
+
+
+def _inflated(data: bytes | memoryview, raw: bool = False) -> tuple[bytes, Iterator[bytes]] | None:
+    """The first ``LAYER_BYTES`` of a stream and what follows; None if there is none."""
+    pieces, out = _inflating(data, raw), []
+    for piece in pieces:
+        out.append(piece)
+        if sum(map(len, out)) > LAYER_BYTES:
+            break
+    whole = b"".join(out)
+    return (whole, pieces) if whole else None
+
+
+def _whole_signs(data: bytes) -> bytes:
+    """Bytes without the parts of UTF-8 signs that a cut left at their ends."""
+    begin = next((i for i in range(min(4, len(data))) if data[i] & 0xC0 != 0x80), 0)
+    end = len(data)
+    for i in range(1, min(4, len(data)) + 1):
+        lead = data[-i]
+        if lead & 0xC0 != 0x80:
+            need = 1 if lead < 0x80 else 2 if lead >> 5 == 6 else 3 if lead >> 4 == 14 else 4
+            end = len(data) - i if need > i else end
+            break
+    return data[begin:end]
+
+
+def _texts_of(first: bytes, more: Iterator[bytes]) -> Iterator[str]:
+    """A layer as text; a large one in pieces, each with the end of the piece before."""
+    piece = next(more, b"")
+    if not piece:
+        if (text := _as_text(first)) is not None:
+            yield text
+        return
+    held = first
+    while held:
+        if (text := _as_text(_whole_signs(held))) is not None:
+            yield text
+        held = held[-OVERLAP_BYTES:] + piece if piece else b""
+        piece = next(more, b"")
 
 
 def _as_text(data: bytes) -> str | None:
@@ -179,28 +267,35 @@ def _joined(text: str, pattern: re.Pattern, more: re.Pattern) -> Iterator[tuple[
         yield digits, where
 
 
-def _holds(data: bytes, whole: bool) -> Iterator[tuple[str, Sequence[int] | None, str]]:
+def _holds(data: bytes, whole: bool, how: str = "base64") -> Iterator[tuple[str, Sequence[int] | None, str]]:
     """Texts inside decoded bytes, the byte of each character (None: of all), and how it is held.
 
     If the bytes as a whole are no text and no stream, the streams and the readable parts
     that lie among others are taken: what precedes a run was decoded along with it.
     """
-    begins = [0] if _inflated(data) is not None else [m.start() for m in _STREAM.finditer(data)]
-    for begin in begins:
-        inside, via, passed = data[begin:], "base64", set()
-        while (inner := _inflated(inside)) is not None:  # compressed, perhaps more than once
-            inside, via = inner, f"{via}>compressed"
+    view = memoryview(data)
+    stream = bool(_STREAM.match(data)) and _inflated(data) is not None
+    begins = [0] if stream else [m.start() for m in _STREAM.finditer(data)]
+    # Raw deflate has no mark, so only a stream that ends, or goes on beyond a layer, is one.
+    raw = whole and not stream and _is_raw(data)
+    for begin in [-1] * raw + begins:
+        inside, via, passed = view[max(begin, 0):], how, set()
+        while (inner := _inflated(inside, raw=begin < 0 and via == how)) is not None:  # perhaps more than once
+            inside, more = inner
+            via = f"{via}>compressed"
             mark = hashlib.blake2b(inside, digest_size=16).digest()
             if mark in passed:
                 break
             passed.add(mark)
-        if via != "base64" and (found := _as_text(inside)) is not None:
-            yield found, None, via
-    if begins == [0]:
+            if not _STREAM.match(inside):
+                for text in _texts_of(inside, more):
+                    yield text, None, via
+                break
+    if stream:
         return
     found = _as_text(data) if whole else None
     if found is not None:
-        yield found, range(len(data)) if len(found) == len(data) else None, "base64"
+        yield found, range(len(data)) if len(found) == len(data) else None, how
         return
     for m in _READABLE.finditer(data):
         try:
@@ -208,9 +303,9 @@ def _holds(data: bytes, whole: bool) -> Iterator[tuple[str, Sequence[int] | None
         except UnicodeDecodeError:
             continue
         at = [m.start() + i for i, v in enumerate(m[0]) if v & 0xC0 != 0x80]
-        yield found, at, "base64"
+        yield found, at, how
     for m in _READABLE_16.finditer(data):
-        yield m[0].decode("utf-16-le"), range(m.start(), m.end(), 2), "base64"
+        yield m[0].decode("utf-16-le"), range(m.start(), m.end(), 2), how
 
 
 def _base64(layer: Layer) -> list[Layer]:
@@ -240,13 +335,31 @@ def _base64(layer: Layer) -> list[Layer]:
                     lo = [layer.lo[where[off + i * 4 // 3]] for i in at]
                     hi = [layer.hi[where[min(last, off + (i * 4 + 3) // 3 - 1)]] for i in ends]
                 else:
-                    lo, hi = [layer.lo[where[off]]] * len(found), [layer.hi[where[last]]] * len(found)
+                    lo, hi = _Same(layer.lo[where[off]], len(found)), _Same(layer.hi[where[last]], len(found))
                 out.append(Layer(found, lo, hi, f"{layer.via}>{via}".lstrip(">")))
     return out
 
 
+def _escaped_bytes(layer: Layer, pattern: re.Pattern, decode, name: str) -> list[Layer]:
+    """Streams among bytes that are written as escapes."""
+    out = []
+    for m in pattern.finditer(layer.text):
+        data = decode(m[0])
+        if not _STREAM.search(data):
+            continue
+        lo, hi = layer.lo[m.start()], layer.hi[m.end() - 1]
+        for found, _, via in _holds(data, False, name):
+            if via != name:
+                out.append(Layer(found, _Same(lo, len(found)), _Same(hi, len(found)), f"{layer.via}>{via}".lstrip(">")))
+    return out
+
+
 def unwrapped(layer: Layer) -> list[Layer]:
     out = []
+    if "%" in layer.text:
+        out += _escaped_bytes(layer, _URL_BYTES, unquote_to_bytes, "url")
+    if "\\x" in layer.text:
+        out += _escaped_bytes(layer, _HEX_BYTES, lambda t: bytes.fromhex(t.replace("\\x", "")), "unicode")
     if "%" in layer.text:
         out += _escapes(layer, _URL, _unescaped_url, "url")
     if "\\" in layer.text or "&#" in layer.text:
@@ -279,7 +392,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     others stand in unwrapped layers, named in ``via`` from the outside in, and cover the
     encoded characters.  A finding that a layer shows at the place of an equal one is
     reported once.  Null and empty texts have no spans; ids may be null or repeat; other
-    columns are not read; an empty table gives an empty one.  A compressed layer of more
-    than ``LAYER_LIMIT`` bytes is not unwrapped: it is an attack, not a text.
+    columns are not read; an empty table gives an empty one.  A compressed layer of any
+    size is read; beyond ``LAYER_BYTES`` in pieces that overlap by ``OVERLAP_BYTES``, so a
+    finding or an inner run longer than the overlap may be seen in parts there.
     """
     return annotate(docs, lambda texts: [find_secrets(t) for t in texts], text, doc_id)
