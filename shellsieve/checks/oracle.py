@@ -12,24 +12,30 @@ from shellsieve.vocabulary import (
     BUILT_IN_COMMANDS,
     DETAIL_COLUMNS,
     EVASION_WORDS,
+    EVENT_SOURCE,
     FEATURE_COLUMNS,
     FLAG_COLUMNS,
+    HISTORY_SOURCE,
     INSTALLERS,
     KEYWORDS,
     LEVEL_CRITICAL,
     LEVEL_SAFE,
     LEVEL_SUSPECT,
+    NO_TIME,
     PERSISTENCE_KEYS,
+    PERSISTENCE_SOURCE,
     REASON_ALLOWED,
     REASON_DENSE,
     REASON_EVASION,
     REASON_LOADER,
     REASON_MODEL,
     REASON_RANSOMWARE,
+    REASON_TRUSTED,
     REPORTED_FLAGS,
     RUNNABLE_SUFFIXES,
     SKIPPED_STORAGE,
     STATISTICAL_COLUMNS,
+    STORAGE_SOURCE,
     STORAGE_WORDS,
     SYSTEM_PATHS,
     TRUSTED_HASHES,
@@ -37,6 +43,13 @@ from shellsieve.vocabulary import (
     WHITESPACE,
 )
 
+
+
+def sql_format(text: str) -> str:
+    """A fixed text with places to fill in, for SQL's ``format``."""
+    return text.replace("%s", "{}")
+
+
 SPACES = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 SPACE_TEXT = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
 QUOTES = "[' || chr(34) || chr(39) || ']"
@@ -358,7 +371,7 @@ _BEAUTIFY = f"""WITH coded AS (
 
 _EVENT_TEXT = f"({corpus.COMMAND}) || ' #' || CAST(event_id AS VARCHAR)"
 _REGISTRY = f"vals AS (SELECT {', '.join(REGISTRY_SQL)} FROM events)"
-_KEY_TIME = "coalesce(strftime(key_ts, '%d-%m-%Y %H:%M:%S'), 'N/D') AS timestamp"
+_KEY_TIME = "coalesce(strftime(key_ts, '%d-%m-%Y %H:%M:%S'), '" + NO_TIME + "') AS timestamp"
 _STORAGE_KEY = "split_part(key_path, chr(92), 2)"
 
 ORACLE: dict[str, str] = {
@@ -465,22 +478,20 @@ ORACLE: dict[str, str] = {
         prepared AS (SELECT *, {allow_text(one_line('text'))} AS t FROM texts)
         SELECT origin, id, part, CAST({allow_rule('t', 'origin')} AS INTEGER) AS allow_rule
         FROM prepared""",
-    "hash_allowlist": """WITH hashed AS (SELECT page_id, url, sha256(html) AS sha256 FROM pages),
+    "hash_allowlist": f"""WITH hashed AS (SELECT page_id, url, sha256(html) AS sha256 FROM pages),
         marked AS (SELECT page_id, sha256, sha256 IN (SELECT sha256 FROM hashed
             WHERE contains(url, '/en/')) AS is_trusted FROM hashed)
-        SELECT *, CASE WHEN is_trusted THEN 'Hash SHA-256 approvato dal team IT ('
-            || substr(sha256, 1, 8) || '...)' ELSE '' END AS trust_reason FROM marked""",
+        SELECT *, CASE WHEN is_trusted THEN format('{sql_format(REASON_TRUSTED)}', substr(sha256, 1, 8)) ELSE '' END AS trust_reason FROM marked""",
     "hash_allowlist_shuffled": f"""WITH {COMMANDS},
         hashed AS (SELECT cmd_id, malicious, sha256(command) AS sha256 FROM commands),
         marked AS (SELECT cmd_id, sha256, sha256 IN (SELECT sha256 FROM hashed
             WHERE malicious = 0) AS is_trusted FROM hashed)
-        SELECT *, CASE WHEN is_trusted THEN 'Hash SHA-256 approvato dal team IT ('
-            || substr(sha256, 1, 8) || '...)' ELSE '' END AS trust_reason FROM marked""",
+        SELECT *, CASE WHEN is_trusted THEN format('{sql_format(REASON_TRUSTED)}', substr(sha256, 1, 8)) ELSE '' END AS trust_reason FROM marked""",
     "hash_allowlist_built_in": f"""WITH {COMMANDS},
         marked AS (SELECT cmd_id, sha256(command) IN ({', '.join(map(text, TRUSTED_HASHES))})
             AS is_trusted FROM commands)
         SELECT cmd_id, is_trusted, CASE WHEN is_trusted THEN
-            'Hash SHA-256 approvato dal team IT (e3b0c442...)' ELSE '' END AS trust_reason
+            '{REASON_TRUSTED % 'e3b0c442'}' ELSE '' END AS trust_reason
         FROM marked""",
     "script_check": f"""WITH {VERDICTS.replace("CASE WHEN event_id % 27 = 5 THEN 'UserAssist' WHEN",
                                                "CASE WHEN")}
@@ -490,7 +501,7 @@ ORACLE: dict[str, str] = {
             CASE WHEN command <> '' THEN base_ml_score END AS base_ml_score,
             CASE WHEN command <> '' THEN level END AS level,
             CASE WHEN command <> '' THEN reason
-                ELSE 'Hash SHA-256 approvato dal team IT (e3b0c442...)' END AS reason
+                ELSE '{REASON_TRUSTED % 'e3b0c442'}' END AS reason
         FROM verdicts""",
     "heuristics": f"""WITH {HEURISTICS} SELECT cmd_id, score, score >= 50 AS is_malicious,
         lvl AS level, why AS reason FROM judged""",
@@ -513,19 +524,19 @@ ORACLE: dict[str, str] = {
         THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM verdicts WHERE is_malicious""",
     "findings_by_source": FINDINGS,
     "findings_top": FINDINGS + " ORDER BY round(score, 2) DESC, cmd_id LIMIT 10",
-    "history_lines": f"""SELECT 'Console_History' AS source, {strip(f"({corpus.COMMAND})")} AS command,
+    "history_lines": f"""SELECT '{HISTORY_SOURCE}' AS source, {strip(f"({corpus.COMMAND})")} AS command,
         'file' AS ts_note, strftime(ts, '%d-%m-%Y %H:%M:%S') || ' (File)' AS timestamp,
         'host' || user_id AS origin FROM events WHERE event_id % 11 <> 0 AND ({corpus.COMMAND}) <> ''""",
-    "script_block_xml": f"""SELECT 'PS_Operational.evtx (EID 4104)' AS source,
+    "script_block_xml": f"""SELECT '{EVENT_SOURCE}' AS source,
         {strip(_EVENT_TEXT)} AS command, 'event' AS ts_note, CASE WHEN event_id % 5 = 0 THEN 'odd'
         ELSE strftime(ts, '%d-%m-%Y %H:%M:%S') END AS timestamp, 'host' || user_id AS origin
         FROM events WHERE event_id % 3 <> 0""",
     "persistence_filter": f"""WITH {_REGISTRY}
-        SELECT 'Persistence Trigger (' || value_name || ')' AS source, value_data AS command,
+        SELECT format('{sql_format(PERSISTENCE_SOURCE)}', value_name) AS source, value_data AS command,
             'key' AS ts_note, {_KEY_TIME}, hive_id AS origin FROM vals
         WHERE lower(key_path) IN ({', '.join(map(text, PERSISTENCE_KEYS))})""",
     "storage_filter": f"""WITH {_REGISTRY}
-        SELECT 'Suspicious Storage (' || {_STORAGE_KEY} || chr(92) || value_name || ')' AS source,
+        SELECT format('{sql_format(STORAGE_SOURCE)}', {_STORAGE_KEY}, value_name) AS source,
             value_data AS command, 'key' AS ts_note, {_KEY_TIME}, hive_id AS origin FROM vals
         WHERE lower(split_part(key_path, chr(92), 1)) = 'software'
             AND length(key_path) - length(replace(key_path, chr(92), '')) = 1

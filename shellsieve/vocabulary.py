@@ -106,7 +106,6 @@ LAUNCH_SOURCE = "UserAssist"
 RUNNABLE_SUFFIXES = (".exe", ".ps1", ".vbs", ".bat", ".cmd")
 TRUSTED_HASHES = (
     "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",
-    "esempio",
 )
 
 # --- fixed values: scores, levels and reason texts ---------------------------------

@@ -9,7 +9,7 @@ from shellsieve.checks import corpus
 from shellsieve.operators import evaluation
 from shellsieve.plans import train
 from shellsieve.plans.hunt import find_malicious, score_commands
-from shellsieve.session import work_folder
+from shellsieve.session import release, work_folder
 from shellsieve.sources.tables import (
     load_model,
     read_features,
@@ -76,17 +76,16 @@ def test_forest_is_deterministic(spark, features, model):
     assert scores[0] == scores[1]
 
 
-def test_the_final_forest_is_better_than_guessing(spark, features):
-    """Class 1 weighs 7, so shallow trees flag whatever is in doubt; the final ones are deep."""
-    commands = corpus.commands(spark, "/root/testdata/sf0.001")
-    final = train.fit_forest(features)
-    scores = [sorted((r.cmd_id, r.base_ml_score) for r in score_commands(commands, final).collect())]
-    assert all(0.0 <= s <= 100.0 for _, s in scores[0])
-    hostile = {r.cmd_id for r in commands.filter("malicious = 1").collect()}
-    flagged = {i for i, s in scores[0] if s >= 50}
-    seen = {i for i, _ in scores[0]}
-    assert len(flagged & hostile) / len(hostile & seen) > 0.9
-    assert len(flagged - hostile) / len(seen - hostile) < 0.1
+def test_the_final_forest_is_better_than_guessing_on_rows_it_has_not_seen(spark, features):
+    """Every row judged by the forest of the final settings that did not see its fold."""
+    table, written = train.training_table(features, "cmd_id", 2)
+    judged = train.held_out_predictions(table, 2, train.ForestParams()).select("malicious", "leaf_share").collect()
+    for part in written:
+        release(part)
+    hostile = [r.leaf_share >= 0.5 for r in judged if r.malicious == 1]
+    benign = [r.leaf_share >= 0.5 for r in judged if r.malicious == 0]
+    assert len(judged) == 1000 and all(0.0 <= r.leaf_share <= 1.0 for r in judged)
+    assert sum(hostile) / len(hostile) > 0.9 and sum(benign) / len(benign) < 0.1
 
 
 def test_importances(spark, model):
