@@ -1,6 +1,7 @@
 """Removal of lines that many documents share, with two Bloom filters before the shuffle.
 
-The first pass sends, for every document, the bit positions of its distinct line keys, a
+Lines are split, folded and hashed once: every document's distinct keys are written as 128-bit
+hashes, and both filter passes read those.  The first sends the bit positions of the keys, a
 few bytes a line, to the owners of the filter's chunks.  They make two Bloom filters, of
 what was seen once and of what was seen twice or more; merging them follows the rule for
 two-step counters: twice is seen twice by either, or once by both.  Only the second filter
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.llm.storage import written
-from shellsieve.llm.tokens import distinct
+from shellsieve.llm.tokens import buffers
 
 BLANKS = " \t\n\x0b\x0c\r"
 PROBES = 2
@@ -53,18 +54,48 @@ def _positions(digests: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(digests[:, 0] + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)], 1)
 
 
-def twice_filter(docs: DataFrame, least: int, bits: int, chunk_bits: int = 1 << 21) -> np.ndarray:
-    """Packed bits of the keys that two documents or more may hold."""
+def _row_of(doc_id: str, text: str) -> Column:
+    """Rows without an id are known by their text, so that they are many groups, not one."""
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(text))
+
+
+def hashed_keys(source: DataFrame, least: int) -> DataFrame:
+    """``doc_id``, ``row`` and ``keys``: the hashes of a text's distinct keys, 16 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            keys = []
+            for text in batch.column(2):
+                own = {k for _, k in long_keys(text.as_py() or "", least)}
+                keys.append(b"".join([digest(k.encode()) for k in own]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary())], ["doc_id", "row", "keys"])
+
+    return source.select("doc_id", "row", "text").mapInArrow(run, "doc_id bigint, row bigint, keys binary").filter(
+        F.octet_length("keys") > 0)
+
+
+def _read_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a batch and, for each, the row it belongs to."""
+    data, offsets = buffers(column)
+    digests = np.frombuffer(data.tobytes(), ">u8").astype(np.uint64).reshape(-1, 2)
+    return digests, np.repeat(np.arange(len(column)), np.diff(offsets) // 16)
+
+
+def twice_filter(keys: DataFrame, bits: int, chunk_bits: int = 1 << 21) -> np.ndarray:
+    """Packed bits of the keys that two documents or more may hold; ``keys`` has ``keys`` alone."""
     chunk_bits = min(bits, chunk_bits)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for text in batch.column(0):
-                # A document counts once for each bit: a key's own repeats are not a repeat.
-                keys = {k for _, k in long_keys(text.as_py() or "", least)}
-                if keys:
-                    found.append(distinct(_positions(_digests(list(keys)), bits).ravel()))
+            digests, owner = _read_keys(batch.column(0))
+            # A document counts once for each bit: two of its keys that meet there are no repeat.
+            at = _positions(digests, bits).ravel()
+            owner = np.repeat(owner, PROBES)
+            order = np.lexsort((owner, at))
+            at, owner = at[order], owner[order]
+            new = np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])] if len(at) else np.zeros(0, bool)
+            found = [at[new]]
             at, n = np.unique(np.concatenate(found), return_counts=True)
             chunk = (at // np.uint64(chunk_bits)).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(at) else [0]
@@ -84,7 +115,7 @@ def twice_filter(docs: DataFrame, least: int, bits: int, chunk_bits: int = 1 <<
             once[at] = True
         return pa.table({"chunk": part.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(twice).tobytes()])})
 
-    chunks = docs.mapInArrow(sent, "chunk bigint, at binary, twice binary").groupBy("chunk").applyInArrow(
+    chunks = keys.mapInArrow(sent, "chunk bigint, at binary, twice binary").groupBy("chunk").applyInArrow(
         merged, "chunk bigint, bits binary")
     bitmap = np.zeros(bits // 8, np.uint8)
     for row in chunks.toLocalIterator():  # of the filter's fixed size altogether
@@ -106,38 +137,37 @@ def drop_shared_lines(docs: DataFrame, least: int = 20, documents: int = 3, bits
     """
     spark = docs.sparkSession
     source = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    source = source.withColumn("row", _row_of("doc_id", "text"))
     if bits is None:
         size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, 1 << (size // 4).bit_length()))
-    suspects = spark.sparkContext.broadcast(twice_filter(source.select("text"), least, bits))
+    keys = written(hashed_keys(source, least))
+    suspects = spark.sparkContext.broadcast(twice_filter(keys.select("keys"), bits))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = suspects.value
         for batch in batches:
-            texts, ids = batch.columns
-            owners, keys = [], []
-            for text, owner in zip(texts, ids.to_pylist(), strict=True):
-                own = {k for _, k in long_keys(text.as_py() or "", least)}
-                keys += own
-                owners += [owner] * len(own)
-            digests = _digests(keys)
+            digests, owner = _read_keys(batch.column(2))
             at = _positions(digests, bits)
             hit = (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).all(1)
+            rows = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digests[hit, 0].view(np.int64)), pa.array(digests[hit, 1].view(np.int64)),
-                 pa.array(owners, pa.int64()).filter(pa.array(hit))], ["a", "b", "doc_id"])
+                 batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b", "doc_id", "row"])
 
-    seen = written(source.mapInArrow(suspected, "a bigint, b bigint, doc_id bigint").distinct())
+    seen = written(keys.mapInArrow(suspected, "a bigint, b bigint, doc_id bigint, row bigint").distinct())
     shared = seen.groupBy("a", "b").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"))
     # Written, so that both sides of the join are plain exchanges, whose hot keys Spark splits.
     shared = written(shared.filter(F.col("n") >= documents).drop("n"))
     lost = (
         seen.join(shared, ["a", "b"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
+        .groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+        .agg(F.collect_list(F.struct("a", "b")).alias("lost"))
     )
     lost = written(lost)
-    joined = source.join(lost.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row"))
+    joined = source.join(lost, same, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
