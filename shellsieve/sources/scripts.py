@@ -23,6 +23,11 @@ def read_scripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
             "path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(b"").alias("content")
         )
         files = files.unionByName(rows)
+    return script_texts(files)
+
+
+def script_texts(files: DataFrame) -> DataFrame:
+    """``path``, ``content`` and ``file_time`` of whole files, read as bytes."""
     text = X.drop_invalid_utf8(F.col("content").cast("string"))
     return files.select(
         "path",
@@ -49,10 +54,10 @@ def _empty_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]
     return found
 
 
-def script_entries(scripts: DataFrame) -> DataFrame:
-    """Scripts as command entries; other columns of the frame are kept."""
+def script_entries(scripts: DataFrame, numbered: bool = True) -> DataFrame:
+    """Scripts as command entries; other columns are kept.  A stream cannot be ``numbered``."""
     return scripts.select(
-        F.monotonically_increasing_id().alias("cmd_id"),
+        *([F.monotonically_increasing_id().alias("cmd_id")] if numbered else []),
         F.lit(SCRIPT_SOURCE).alias("source"),
         F.col("content").alias("command"),
         F.col("file_time").alias("event_ts"),

@@ -25,6 +25,7 @@ from shellsieve.session import release_path
 from shellsieve.sources.history import history_entries
 from shellsieve.sources.registry import registry_entries
 from shellsieve.sources.script_blocks import RECORD_END, parse_records, script_block_entries
+from shellsieve.sources.scripts import script_entries, script_texts
 from shellsieve.vocabulary import KEYWORDS
 
 
@@ -53,6 +54,13 @@ def watch_registry(spark: SparkSession, folder: str, files_per_batch: int = 1000
     return registry_entries(values, numbered=False)
 
 
+def watch_scripts(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Whole scripts that arrive in a folder; files of length zero are passed over."""
+    whole = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(whole).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return script_entries(script_texts(files.select("path", "modificationTime", "content")), numbered=False)
+
+
 def watch_all(*sources: DataFrame | None) -> DataFrame:
     """The streams given, united; ``source_no`` is a source's place among them."""
     names = [c for c in ENTRY.fieldNames() if c != TIE_BREAK]

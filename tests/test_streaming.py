@@ -18,6 +18,7 @@ from shellsieve.streaming.scan import (
     watch_events,
     watch_history,
     watch_registry,
+    watch_scripts,
 )
 from test_sources import block, event
 
@@ -76,30 +77,33 @@ def test_stream_with_a_forest(spark, tmp_path):
 
 def test_all_sources_as_streams_with_a_kept_ranking(spark, tmp_path):
     """Batch by batch the ranking is that of all that is stored; a batch run again is stored once."""
-    folders = {name: tmp_path / name for name in ("h", "e", "r")}
+    folders = {name: tmp_path / name for name in ("h", "e", "r", "s")}
     for folder in folders.values():
         folder.mkdir()
     for i in range(3):
         (folders["h"] / f"h{i}.txt").write_text("\n".join(f"{line} {i}" for line in LINES))
         (folders["e"] / f"e{i}.xml").write_text("<Events>" + event(block(f"iex{chr(10)} {i}")) * 2 + "</Events>")
+    for i in range(2):
+        (folders["s"] / f"s{i}.ps1").write_bytes(f"iex (script {i})\r\nmore".encode())
     values = [("hive", r"Software\Foo", None, f"v{i}", f"powershell {'x' * i}") for i in range(5)]
     spark.createDataFrame(values, REGISTRY_VALUE).write.mode("append").parquet(str(folders["r"]))
-    base = F.length("command") * 7 % 60
+    base = F.col("source_no") + 60.0
     entries = watch_all(
         watch_history(spark, str(folders["h"]), 1), watch_events(spark, str(folders["e"]), 1), None,
-        watch_registry(spark, str(folders["r"]), 1))
+        watch_registry(spark, str(folders["r"]), 1), watch_scripts(spark, str(folders["s"]), 1))
     out = str(tmp_path / "out")
 
     def run(check):
-        keep_ranking(stream_findings(entries, base_score=base), out, str(tmp_path / check), n=5, until_caught_up=True).awaitTermination()
+        keep_ranking(stream_findings(entries, base_score=base), out, str(tmp_path / check), n=9, until_caught_up=True).awaitTermination()
         stored = spark.read.parquet(f"{out}/findings").drop("batch")
         shown = ["source_no", "command", "score", "origin"]
         ranked = [tuple(r) for r in read_ranking(spark, out).select(shown).collect()]
-        assert ranked == [tuple(r) for r in order_findings(stored).limit(5).select(shown).collect()]
+        assert ranked == [tuple(r) for r in order_findings(stored).limit(9).select(shown).collect()]
         return stored.count(), ranked
 
     first = run("check")
-    assert first[0] > 5 and {r[0] for r in first[1]} <= {0, 1, 3}
+    # 12 lines that no allow rule lets pass, 6 of them evasions; 6 events, 5 values, 2 scripts
+    assert first[0] == 25 and [r[0] for r in first[1]] == [0] * 6 + [4, 4, 3]
     # Without its checkpoint the stream runs all batches again, into the same folders.
     assert run("again") == first
     with pytest.raises(ValueError):
