@@ -126,7 +126,8 @@ SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_chil
 FROM parents n JOIN subtrees s USING (p) LEFT JOIN nodes u ON n.d > 0 AND u.p = list_slice(n.p, 1, n.d - 1)
 """
 
-# Near words share a word or a word less one letter; forms are followed to their end.
+# Near words are equal less one letter each at the same place, or one less a letter is the other;
+# letters are code points (the engine's own edit distance counts bytes).  Forms are followed to their end.
 PARTENUM_SPELLING = rf"""
 WITH RECURSIVE {CRC_TABLE}, runs AS (
   SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
@@ -140,11 +141,11 @@ WITH RECURSIVE {CRC_TABLE}, runs AS (
          sum(k)::BIGINT AS n
   FROM told GROUP BY 1 HAVING sum(k) >= 5 AND length(word) >= 6
 ), cuts AS (
-  SELECT word, n, word AS c FROM words
-  UNION SELECT word, n, substr(word, 1, k) || substr(word, k + 2) FROM (SELECT *, unnest(range(0, length(word))) AS k FROM words)
+  SELECT word, n, -1 AS k, word AS c FROM words
+  UNION ALL SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) FROM (SELECT *, unnest(range(0, length(word))) AS k FROM words)
 ), near AS (
   SELECT DISTINCT a.word, b.word AS other, b.n AS other_n
-  FROM cuts a JOIN cuts b ON a.c = b.c AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1
+  FROM cuts a JOIN cuts b ON a.c = b.c AND a.word <> b.word AND (a.k = b.k OR a.k = -1 OR b.k = -1)
 ), best AS (
   SELECT word, count(*) AS n_near, max(other_n) AS m, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word
 ), judged AS (
