@@ -16,6 +16,30 @@ from shellsieve.session import work_folder
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
+#: folders made inside each open :func:`scratch`, the innermost last
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables between jobs that are written inside go at the end.
+
+    The operators' results read such tables, so write a result out before the end::
+
+        with scratch(spark):
+            exact_duplicates(docs).write.parquet("groups/")
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            _delete(spark, folder)
 
 
 @contextmanager
@@ -36,6 +60,8 @@ def written(df: DataFrame, *partitions: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/steps/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     with shuffles_dropped(spark):
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
@@ -55,9 +81,7 @@ def spare(columns: list[str], *names: str) -> list[str]:
 
 def discard(table: DataFrame) -> None:
     """Delete a table that :func:`written` made and nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, table._shared_path)
 
 
 def ship_package(spark: SparkSession) -> None:
