@@ -36,11 +36,41 @@ def test_bounds_hold_and_result_is_exact(scale):
     rng = np.random.default_rng(scale)
     x, q = (np.floor(rng.normal(size=(n, 12)) * scale).astype(np.int64) for n in (500, 30))
     exact = q @ x.T
-    ordered = np.sort(x, axis=0)
-    for depth in (1, 100, 250, 499):
-        lower, upper = topk._bounds(x, q, ordered, depth)
-        assert (lower <= exact).all() and (exact <= upper).all()
-    rows, columns, score = topk.aggregate(np.arange(500), x, np.arange(1000, 1030), q, 7)
+    lists = topk.Lists(x)
+    reading = topk.Reading(lists, q, np.ones((500, 30), bool))
+    for depth in (1, 100, 250, 499, 500):
+        reading.read(depth)
+        lower, upper = reading.bounds()
+        assert (lower <= exact.T).all() and (exact.T <= upper).all()
+    assert (lower == upper).all()
+    rows, columns, score, entries = topk.aggregate(np.arange(500), x, np.arange(1000, 1030), q, 7)
     assert (exact[rows, columns] == score).all()
+    assert (entries <= 500 * 12).all()
     for i in range(30):
         assert sorted(zip(-score[rows == i], columns[rows == i])) == sorted(zip(-exact[i], range(500)))[:7]
+
+
+def test_unread_entries_are_not_used():
+    """Entries beyond the depth may hold anything that keeps the lists' order."""
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-50, 50, (200, 8)), np.abs(rng.integers(-50, 50, (9, 8)))
+    bounds = []
+    for change in (False, True):
+        own = x.copy()
+        if change:
+            for j in range(8):
+                hidden = np.argsort(x[:, j], kind="stable")[1:120]
+                own[hidden, j] = x[:, j].min()
+        reading = topk.Reading(topk.Lists(own), q, np.ones((200, 9), bool))
+        reading.read(80)
+        bounds.append(reading.known.copy())
+    assert (bounds[0] == bounds[1]).all()
+
+
+def test_leading_vectors_end_the_reading_early():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-8, 8, (4000, 16))
+    x[:7] = 60
+    rows, columns, _, entries = topk.aggregate(np.arange(4000), x, np.array([-1]), np.full((1, 16), 5), 7)
+    assert set(columns) == set(range(7))
+    assert entries[0] < 0.6 * 4000 * 16
