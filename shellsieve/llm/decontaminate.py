@@ -1,10 +1,11 @@
 """Benchmark passages in documents: item-sized windows, SimHash blocks, exact similarity.
 
 Every benchmark item has the SimHash of its word shingles.  A document is compared in
-windows as long as the item.  Fingerprints of windows probe a multi-index: 64 bits are cut
-into ``radius + 1`` blocks, and of two fingerprints within the radius at least one block is
-equal, so the index returns all of them.  Candidates are verified by the weighted Jaccard
-similarity of the shingles, a shingle weighing as often as it occurs.
+windows as long as the item.  Fingerprints of windows probe a multi-index of four blocks of
+bits: of two fingerprints within the radius at least one block differs in a quarter of it or
+less, so the index, which files items under all such values, returns all of them.
+Candidates are verified by the weighted Jaccard similarity of the shingles, a shingle
+weighing as often as it occurs.
 
 Windows that share no shingle with an item have similarity zero, so only windows around a
 shared shingle get fingerprints; the shared shingles are found by one rolling hash over
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from shellsieve.llm.tokens import LOWER, WHITE, Words, buffers, distinct, pieces
 
-ITEMS = 20_000
+ITEMS = 4096
+RADIUS = 15
+BLOCKS = 4
 _APART = WHITE.copy()
 _APART[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True  # ASCII marks
 _SIEVE = 1 << 22
@@ -46,28 +49,43 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 
 
 class BlockIndex:
-    """Fingerprints by the values of ``radius + 1`` blocks of their bits."""
+    """Fingerprints by the values near those of their four blocks of 16 bits.
+
+    Of two fingerprints within ``radius`` bits at least one block differs in a quarter of
+    them or fewer, so each fingerprint is filed, block by block, under every value that
+    near to its own, and one look-up a block finds them all.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-        self.masks = [np.uint64((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
+        values = np.arange(1 << 16, dtype=np.uint16)
+        flips = values[np.bitwise_count(values) <= radius // BLOCKS]
         self.tables = []
-        for mask in self.masks:
-            order = np.argsort(prints & mask, kind="stable")
-            self.tables.append(((prints & mask)[order], order))
+        for block in range(BLOCKS):
+            near = (self._block(prints, block)[:, None] ^ flips).ravel()
+            order = np.argsort(near, kind="stable")
+            self.tables.append((near[order], (order // len(flips)).astype(np.int32)))
 
-    def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of asked and indexed fingerprints within the radius."""
+    @staticmethod
+    def _block(prints: np.ndarray, block: int) -> np.ndarray:
+        return (prints >> np.uint64(16 * block)).astype(np.uint16)
+
+    def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Asked and indexed fingerprints that meet in some block, once each."""
         pairs = [np.zeros(0, np.int64)]
-        for mask, (values, order) in zip(self.masks, self.tables, strict=True):
-            a = np.searchsorted(values, asked & mask, "left")
-            n = np.searchsorted(values, asked & mask, "right") - a
+        for block, (values, item) in enumerate(self.tables):
+            own = self._block(asked, block)
+            a = np.searchsorted(values, own, "left")
+            n = np.searchsorted(values, own, "right") - a
             at = np.repeat(np.arange(len(asked)), n)
             inner = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(at * len(self.prints) + order[np.repeat(a, n) + inner])
+            pairs.append(at * len(self.prints) + item[np.repeat(a, n) + inner])
         pairs = distinct(np.concatenate(pairs))
-        at, item = pairs // len(self.prints), pairs % len(self.prints)
+        return pairs // len(self.prints), pairs % len(self.prints)
+
+    def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of asked and indexed fingerprints within the radius."""
+        at, item = self.candidates(asked)
         near = np.bitwise_count(asked[at] ^ self.prints[item]) <= self.radius
         return at[near], item[near]
 
@@ -166,7 +184,7 @@ def _matches(items: Items, width: int, shingles: np.ndarray, hits: np.ndarray, l
     return best
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 20,
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = RADIUS,
                    text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``matches``: item, first word, words, similarity, bits that differ.
 
@@ -183,7 +201,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, leas
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8,
-                      radius: int = 20, text: str = "text") -> DataFrame:
+                      radius: int = RADIUS, text: str = "text") -> DataFrame:
     """``docs`` without the rows that match an item; all columns, whatever their names."""
     matched = _matched(docs, benchmark, shingle, least, radius, text, tuple(docs.columns))
     return matched.filter(F.size("__matches") == 0).drop("__matches")

@@ -94,6 +94,28 @@ def test_index_returns_all_within_the_radius(radius):
     assert got == set(zip(*(x.tolist() for x in np.nonzero(near)))) and got
 
 
+def test_index_selects_and_meets_changed_passages():
+    """Few of all pairs are candidates; windows of similarity 0.8 or more are within the radius."""
+    rng = np.random.default_rng(8)
+    prints, asked = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (300, 2000))
+    assert len(d.BlockIndex(prints, d.RADIUS).candidates(asked)[0]) < 0.05 * 300 * 2000
+
+    items, rnd, near, far = passages(9, 60), random.Random(10), 0, 0
+    known = d.Items(items, 5, d.RADIUS)
+    for _ in range(1500):
+        i = rnd.randrange(60)
+        words = items[i][1].split()
+        for _ in range(rnd.randint(1, 2)):
+            words[rnd.randrange(len(words))] = "changed"
+        shingle = d.words_of(*buffers(pa.array([" ".join(words)]))).windows(5)[1]
+        if d.similarity(shingle, known.bags[i]) >= 0.8:
+            own, index = known.groups[len(words)]
+            of = d._packed((2 * d.simhash(shingle).sum(0, dtype=np.int64) > len(shingle))[None])
+            near += i in own[index.within(of)[1]]
+            far += i not in own[index.within(of)[1]]
+    assert near + far > 100 and near >= 0.95 * (near + far)
+
+
 def test_edge_rows(spark, edge, edge_rows):
     bench = spark.createDataFrame(passages(5, 3) + [(7, edge_rows[5][1])], "item_id long, text string")
     got = {(r.doc_id, m.item_id) for r in d.find_benchmark(edge, bench).collect() for m in r.matches}
