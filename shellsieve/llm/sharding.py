@@ -7,9 +7,10 @@ rows are exchanged, and every shard permutes what it got.  The result is a unifo
 and every shard has exactly its size.
 
 Source partitions are hash partitions of the rows themselves, so a task that runs again
-deals the same rows; their number is a parameter, so the matrix has a fixed size.  Both
-permutations order rows by a seeded hash; a shard is numbered in ranges of that hash, so
-neither step gathers a shard in one task.
+deals the same rows; their number follows the number of rows.  Both permutations order rows
+by a seeded hash; a shard is numbered in ranges of that hash, so neither step gathers a
+shard in one task.  Rows that repeat so often that their source would be many times as large
+as others are written out once with a number each, which then tells them apart.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellsieve.llm.storage import written
+from shellsieve.llm.storage import spare, written
 
+#: source partitions, and ranges of a shard, at least
 SOURCES = 512
 SLICES = 64
+#: rows of a source or of a range that more of them keep it under
+PART_ROWS = 1 << 18
 
 
 def hypergeometric(rng: np.random.Generator, good: int, total: int, draws: int) -> int:
@@ -68,47 +72,65 @@ def exact_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (j < rows % shards) for j in range(shards)]
 
 
+def _parts(rows: int, least: int) -> int:
+    return max(least, -(-rows // PART_ROWS))
+
+
 def shuffle_into_shards(rows: DataFrame, shards: int = 40, seed: int = 17,
-                        identity: tuple[str, ...] | None = None, sources: int = SOURCES) -> DataFrame:
+                        identity: tuple[str, ...] | None = None, sources: int | None = None) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: a uniform shuffle, shard sizes at most one apart.
 
     ``identity`` names the columns whose values tell rows apart (default: all); rows that
     agree in them are exchangeable and still get a slot each.  Nulls hash like a value of
     their own.  Slots of a shard run from 0 without gaps.  Columns called ``shard`` or
-    ``slot`` are replaced.  An empty table gives an empty one.
+    ``slot`` are replaced, all others kept whatever their names.  The same rows are dealt
+    alike however they are partitioned, unless rows repeat more than a few times
+    :data:`PART_ROWS` over.  An empty table gives an empty one.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
     own = rows.columns
+    source, first, second, ends, number, piece, before, mark = spare(
+        own, "source", "first", "second", "ends", "number", "piece", "before", "mark")
     names = list(identity or own)
-    drawn = lambda what: F.xxhash64(F.lit(f"{seed}/{what}"), *names)
-    placed = rows.select("*", F.pmod(drawn("source"), F.lit(sources)).cast("int").alias("__source"),
-                         drawn("first").alias("__first"), drawn("second").alias("__second"))
-    # At most `sources` rows.
-    counts = dict(map(tuple, placed.groupBy("__source").count().collect()))
-    sizes = [counts.get(i, 0) for i in range(sources)]
+    total = rows.count()
+    sources = sources or _parts(total, SOURCES)
+    slices = _parts(-(-total // shards), SLICES)
+
+    def place() -> tuple[DataFrame, list[int]]:
+        drawn = lambda what: F.xxhash64(F.lit(f"{seed}/{what}"), *names)
+        placed = rows.select("*", F.pmod(drawn("source"), F.lit(sources)).cast("int").alias(source),
+                             drawn("first").alias(first), drawn("second").alias(second))
+        counts = dict(map(tuple, placed.groupBy(source).count().collect()))  # at most `sources` rows
+        return placed, [counts.get(i, 0) for i in range(sources)]
+
+    placed, sizes = place()
+    if max(sizes) > 4 * max(PART_ROWS, -(-total // sources)):
+        rows = written(rows.withColumn(mark, F.monotonically_increasing_id()))
+        names.append(mark)
+        placed, sizes = place()
     matrix = communication_matrix(sizes, exact_sizes(sum(sizes), shards), seed)
-    ends = np.cumsum(matrix, axis=1)
-    table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(ends)], "__source int, __ends array<bigint>")
-
-    local = Window.partitionBy("__source").orderBy("__first", "__second")
-    numbered = placed.withColumn("__n", F.row_number().over(local)).join(F.broadcast(table), "__source")
-    shard = F.size(F.filter("__ends", lambda e: e < F.col("__n"))).cast("int")
-    dealt = numbered.select(*own, "__second", shard.alias("shard"))
-    width = 2**64 // SLICES
-    piece: Column = F.floor((F.col("__second") / width) + SLICES // 2).cast("int")
-    dealt = written(dealt.withColumn("__piece", F.least(piece, F.lit(SLICES - 1))))
-
-    counts = {(r["shard"], r["__piece"]): r["count"] for r in dealt.groupBy("shard", "__piece").count().collect()}
-    before = []
+    table = spark.createDataFrame(
+        [(i, e.tolist()) for i, e in enumerate(np.cumsum(matrix, axis=1))], f"`{source}` int, `{ends}` array<bigint>")
+
+    local = Window.partitionBy(source).orderBy(first, second)
+    numbered = placed.withColumn(number, F.row_number().over(local)).join(F.broadcast(table), source)
+    shard = F.size(F.filter(ends, lambda e: e < F.col(number))).cast("int")
+    at: Column = F.floor((F.col(second) / (2**64 / slices)) + slices / 2).cast("int")
+    kept = [*own, mark] if mark in names else own
+    dealt = written(numbered.select(
+        *kept, second, shard.alias("shard"), F.greatest(F.lit(0), F.least(at, F.lit(slices - 1))).alias(piece)))
+
+    counts = {(r["shard"], r[piece]): r["count"] for r in dealt.groupBy("shard", piece).count().collect()}
+    offsets = []
     for j in range(shards):
-        at = 0
-        for s in range(SLICES):
-            before.append((j, s, at))
-            at += counts.get((j, s), 0)
-    offsets = spark.createDataFrame(before, "shard int, __piece int, __before bigint")
-    within = Window.partitionBy("shard", "__piece").orderBy("__second", *[F.hash(n) for n in names])
+        start = 0
+        for s in range(slices):
+            offsets.append((j, s, start))
+            start += counts.get((j, s), 0)
+    offsets = spark.createDataFrame(offsets, f"shard int, `{piece}` int, `{before}` bigint")
+    within = Window.partitionBy("shard", piece).orderBy(second, *[F.hash(n) for n in names])
     return (
-        dealt.withColumn("__k", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "__piece"])
-        .select(*own, "shard", (F.col("__before") + F.col("__k") - 1).alias("slot"))
+        dealt.withColumn(number, F.row_number().over(within)).join(F.broadcast(offsets), ["shard", piece])
+        .select(*own, "shard", (F.col(before) + F.col(number) - 1).alias("slot"))
     )

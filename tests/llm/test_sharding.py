@@ -45,6 +45,23 @@ def test_a_third_of_equal_rows(spark):
     assert all(sorted(v) == list(range(len(v))) for v in parts.values())
 
 
+def test_sources_follow_the_rows_and_equal_rows_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 20)
+    monkeypatch.setattr(sharding, "SOURCES", 4)
+    monkeypatch.setattr(sharding, "SLICES", 2)
+    seen, draw = [], sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda sizes, *rest: seen.append(sizes) or draw(sizes, *rest))
+    rows = [(1, "same")] * 400 + [(i, "own") for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 _source", "6 __mark", "7 _before")
+    dealt = sharding.shuffle_into_shards(frame, 7)
+    assert dealt.columns == [*frame.columns, "shard", "slot"]
+    assert len(seen[0]) == 60 and max(seen[0]) < 80
+    assert Counter(tuple(r)[:2] for r in dealt.collect()) == Counter(rows)
+    parts = shards_of(dealt)
+    assert max(map(len, parts.values())) - min(map(len, parts.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in parts.values())
+
+
 def test_hypergeometric_law():
     from math import comb
 
