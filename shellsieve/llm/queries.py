@@ -80,7 +80,7 @@ def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return rated.select(
         "doc_id", "n_tokens", F.get(F.array(*map(F.lit, mixture.domains)), best - 1).alias("domain"),
-        F.array_max("posterior").alias("probability"), "rate", "copies")
+        F.array_max("posterior").alias("probability"), "rate", "copies", F.lit(mixture.error).alias("error"))
 
 
 def op8_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,42 @@ def test_floor_keeps_every_document(trained):
     mixing.fit_rates(docs, mixture)
 
 
+def test_hard_targets_settle_and_tell_their_error(trained):
+    docs, mixture = trained
+    mixing.fit_rates(docs, mixture, {d: float(d.startswith("en")) for d in mixture.domains})
+    assert mixture.settled and len(mixture.steps) > 3
+    n, p, rate = solution(mixing.with_rates(docs, mixture), mixture)
+    gap = np.abs((n * rate) @ p - mixture.targets).max() / mixture.targets.sum()
+    assert mixture.error == pytest.approx(gap, rel=1e-6)
+    mixing.fit_rates(docs, mixture)
+    assert mixture.settled and mixture.error < 1e-6
+
+
+def test_any_number_of_domains(spark, trained, monkeypatch):
+    monkeypatch.setattr(mixing, "GRAM_ENTRIES", 700)
+    docs, _ = trained
+    labels = docs.filter("doc_id IS NOT NULL").selectExpr("doc_id", "concat('d', doc_id % 90) domain").distinct()
+    mixture = mixing.train_domains(docs, labels, rows=400)
+    assert len(mixture.domains) == 90
+    table = mixing.with_posteriors(docs, mixture, keep=()).collect()
+    n, p = np.array([float(r[0]) for r in table]), np.array([r[1] for r in table])
+    frame = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n bigint, p array<double>")
+    assert np.allclose(mixing._gram(frame, mixture), (p * n[:, None]).T @ p)
+    monkeypatch.setattr(mixing, "STEPS", 3)
+    with pytest.warns(UserWarning, match="still move"):
+        mixing.fit_rates(docs, mixture)
+    assert not mixture.settled and len(mixture.steps) == 3
+    assert np.allclose(mixture.targets.sum(), n.sum())
+
+
+def test_helper_names_give_way(spark, trained):
+    docs, mixture = trained
+    taken = docs.limit(5).selectExpr("*", "1 _rate", "2 _copies", "3 __copy", "4 _posterior", "5 _copy", "6 rate")
+    out = mixing.resample(taken, mixture)
+    assert out.columns == taken.columns
+    assert {(r["_rate"], r["_copies"], r["__copy"], r["_posterior"], r["_copy"], r["rate"]) for r in out.collect()} <= {(1, 2, 3, 4, 5, 6)}
+
+
 def test_edge_rows(spark, edge, edge_rows):
     labels = spark.createDataFrame([(4, "x"), (5, "y"), (6, "x"), (9, None), (None, "y")], "doc_id long, domain string")
     mixture = mixing.train_domains(edge, labels)
