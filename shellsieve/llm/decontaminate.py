@@ -2,8 +2,8 @@
 
 Every benchmark item has the SimHash of its word shingles.  A document is compared in
 windows as long as the item.  Fingerprints of windows probe a multi-index of four blocks of
-bits: of two fingerprints within the radius at least one block differs in a quarter of it or
-less, so the index, which files items under all such values, returns all of them.
+bits: of two fingerprints within the radius at least one block differs in no more than a
+quarter of the radius, so the index, which files items under all such values, returns all.
 Candidates are verified by the weighted Jaccard similarity of the shingles, a shingle
 weighing as often as it occurs.
 
