@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shellsieve.functions import text as X
+from shellsieve.session import settle
 from shellsieve.sources.positions import positioned_lines
 
 #: UTF-16LE's line feed; exports are UTF-16 since version 5, one byte per sign before
@@ -23,6 +24,10 @@ _VALUE = r"(?s)^(?:@|\"((?:[^\"\\]|\\.)*+)\")=(.*)$"
 _START = r"^(?:\[-?HKEY_|@=|\"(?:[^\"\\]|\\.)*+\"=|;|Windows Registry Editor|REGEDIT4)"
 #: hives of other users stand below a key that names the user
 _USERS = "HKEY_USERS"
+#: bytes of lines that a task takes, as they are in the file
+TASK_BYTES = 64 << 20
+#: bytes of a file whose ranges hand on what they carry among themselves
+STRETCH = 1 << 24
 
 
 def _text(encoding: str) -> Column:
@@ -91,12 +96,23 @@ def _data_text(data: Column) -> Column:
         .otherwise(data))
 
 
-def _carried(rows: DataFrame, **last: Column) -> DataFrame:
-    """``origin``, ``block`` and, of the ranges before, the last non-null value of each column."""
-    by_line = {n: F.max_by(c, F.when(c.isNotNull(), F.col("line"))).alias(n) for n, c in last.items()}
-    ends = rows.groupBy("origin", "block").agg(*by_line.values())
-    earlier = Window.partitionBy("origin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return ends.select("origin", "block", *[F.last(n, ignorenulls=True).over(earlier).alias(f"carried_{n}") for n in last])
+def _carried(ends: DataFrame, **last: Column) -> DataFrame:
+    """``ends`` (one row per range) with, of the ranges before, the last non-null value of each column.
+
+    Ranges are looked at inside stretches of a file, and one row per stretch carries on: no
+    window holds all ranges of a file.
+    """
+    told = ends.withColumns({f"own_{n}": c for n, c in last.items()}).withColumn("stretch", F.floor(F.col("block") / STRETCH))
+    stretches = told.groupBy("origin", "stretch").agg(*[
+        F.max_by(f"own_{n}", F.when(F.col(f"own_{n}").isNotNull(), F.coalesce("block", F.lit(-1)))).alias(f"own_{n}") for n in last])
+    file = Window.partitionBy("origin").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = stretches.select(F.col("origin").alias("__origin"), F.col("stretch").alias("__stretch"), *[
+        F.last(f"own_{n}", ignorenulls=True).over(file).alias(f"before_{n}") for n in last])
+    inside = Window.partitionBy("origin", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    near = told.withColumns({f"near_{n}": F.last(f"own_{n}", ignorenulls=True).over(inside) for n in last})
+    same = F.col("origin").eqNullSafe(F.col("__origin")) & F.col("stretch").eqNullSafe(F.col("__stretch"))
+    return near.join(before, same).select(
+        *ends.columns, *[F.coalesce(f"near_{n}", f"before_{n}").alias(f"carried_{n}") for n in last])
 
 
 def export_values(lines: DataFrame, encoding: str = "utf-16") -> DataFrame:
@@ -106,26 +122,47 @@ def export_values(lines: DataFrame, encoding: str = "utf-16") -> DataFrame:
     hive, and the users' hives of an export are told apart by their key.  Exports have no key
     times.  Deletions (``"name"=-``, ``[-key]``) are no values.
     """
-    rows = lines.select("origin", "block", "line", _text(encoding).alias("text"))
+    rows = lines.select("origin", "block", "line", F.octet_length("value").alias("bytes"), _text(encoding).alias("text"))
+    # Only data in hex digits goes on after a backslash; a string ends with a quote.
+    rows = rows.withColumns({
+        "open": F.col("text").rlike(r"(?i)^(?:\s|.*=hex|[0-9a-f]{2},).*\\$"),
+        "starts": F.col("text").rlike(_START),
+        "header": F.when(F.col("text").rlike(_HEADER), F.col("text"))})
     inside = Window.partitionBy("origin", "block").orderBy("line")
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    # Only data in hex digits goes on after a backslash; a string ends with a quote.
-    rows = rows.withColumn("open", F.col("text").rlike(r"(?i)^(?:\s|.*=hex|[0-9a-f]{2},).*\\$"))
-    rows = rows.join(_carried(rows, open=F.col("open")), ["origin", "block"], "left")
-    continues = F.coalesce(F.lag("open").over(inside), F.col("carried_open"), F.lit(False))
-    start = F.col("text").rlike(_START) & ~continues
-    rows = rows.withColumn("start", F.when(start, F.col("line")))
-    key = F.when(F.col("start").isNotNull() & F.col("text").rlike(_HEADER), F.col("text"))
-    rows = rows.withColumn("key", key)
-    rows = rows.join(_carried(rows, start=F.col("start"), key=F.col("key")), ["origin", "block"], "left")
-    told = rows.select(
+
+    def started(rows: DataFrame) -> DataFrame:
+        """Start and key of a line, if the ranges before leave nothing open (``0``) and if they do (``1``)."""
+        rows = rows.withColumn("goes_on", F.lag("open").over(inside))
+        for n, carried in enumerate((False, True)):
+            start = F.col("starts") & ~F.coalesce("goes_on", F.lit(carried))
+            rows = rows.withColumns({f"start{n}": F.when(start, F.col("line")), f"key{n}": F.when(start, F.col("header"))})
+        return rows
+
+    def last(column: str) -> Column:
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("line"))).alias(column)
+
+    # Lines without their texts tell what every range hands on.
+    either = ("start0", "start1", "key0", "key1")
+    ends = settle(started(rows.drop("text")).groupBy("origin", "block").agg(
+        *map(last, ("open", *either)), F.sum("bytes").alias("bytes")))
+    ends = _carried(ends, open=F.col("open"))
+    goes_on = F.coalesce("carried_open", F.lit(False))
+    ends = _carried(ends, **{n: F.when(goes_on, F.col(f"{n}1")).otherwise(F.col(f"{n}0")) for n in ("start", "key")})
+    carried = ends.select("origin", "block", "carried_open", "carried_start", "carried_key")
+    # Texts of few signs shrink in an exchange, so tasks are counted by the bytes of the lines.
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, (ends.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES + 1)
+    placed = started(rows.drop("bytes").repartition(parts, "origin", "block")).withColumns(
+        {n: F.last(n, ignorenulls=True).over(running) for n in either})
+    placed = placed.drop("starts", "header", "goes_on").join(carried, ["origin", "block"], "left")
+    told = placed.select(
         "origin", "line", "text", "open",
-        F.coalesce(F.last("start", ignorenulls=True).over(running), F.col("carried_start")).alias("entry"),
-        F.coalesce(F.last("key", ignorenulls=True).over(running), F.col("carried_key")).alias("key"))
+        *[F.coalesce(F.when(goes_on, F.col(f"{n}1")).otherwise(F.col(f"{n}0")), F.col(f"carried_{n}")).alias(as_)
+          for n, as_ in (("start", "entry"), ("key", "key"))])
     # The lines of one value; hex digits close up, other texts keep their line ends.
     piece = F.struct("line", F.when(F.col("open"), F.regexp_replace("text", r"\\$", "")).otherwise(
         F.concat(F.col("text"), F.lit("\n"))).alias("text"))
-    whole = told.filter("entry IS NOT NULL AND key IS NOT NULL").groupBy("origin", "entry").agg(
+    whole = told.filter("entry IS NOT NULL AND key IS NOT NULL").repartition(parts, "origin", "entry").groupBy("origin", "entry").agg(
         F.max("key").alias("key"), F.array_join(F.sort_array(F.collect_list(piece))["text"], "").alias("text"))
     value = whole.withColumn("text", F.rtrim("text", F.lit("\r\n"))).filter(F.col("text").rlike(_VALUE)).select(
         "origin", "entry", F.regexp_extract("key", _HEADER, 1).alias("root"), F.regexp_extract("key", _HEADER, 2).alias("path"),

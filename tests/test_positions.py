@@ -7,6 +7,7 @@ import pytest
 from shellsieve.sources.history import read_history
 from shellsieve.sources.positions import positioned_lines
 from shellsieve.sources.registry import registry_entries
+from shellsieve.sources import registry_export
 from shellsieve.sources.registry_export import read_registry_export
 from shellsieve.sources.script_blocks import read_event_xml, read_script_blocks
 from test_sources import block, event
@@ -137,6 +138,34 @@ def test_registry_exports(spark, tmp_path, size):
         read_registry_export(spark, str(tmp_path), "latin")
 
 
+@pytest.mark.parametrize("stretch", [100, 1 << 10])
+def test_registry_ranges_hand_on_by_stretches(spark, tmp_path, monkeypatch, stretch):
+    """Small stretches, several files and tasks by bytes: values do not change."""
+    monkeypatch.setattr(registry_export, "STRETCH", stretch)
+    monkeypatch.setattr(registry_export, "TASK_BYTES", 40)
+    text = EXPORT.replace("\n", "\r\n")
+    for n in range(3):
+        (tmp_path / f"{n}.reg").write_bytes(text.encode("utf-16"))
+    with cut_every(spark, 64):
+        frame = read_registry_export(spark, str(tmp_path))
+        rows = frame.collect()
+    for n in range(3):
+        got = [(r.key_path, r.value_name, r.value_data) for r in rows if f"{n}.reg" in r.hive_id]
+        assert sorted(got, key=repr) == sorted(EXPECTED, key=repr)
+    # texts of one letter are small in an exchange; their tasks are as many as their bytes ask for
+    size = sum(f.stat().st_size for f in tmp_path.glob("*.reg"))
+    assert frame.rdd.getNumPartitions() >= size * 0.9 // 40
+
+
+def test_texts_of_an_export_are_joined_once(spark):
+    lines = spark.createDataFrame([("a", 0, 0, b"[HKEY_USERS\\x]")], "origin string, block long, line long, value binary")
+    plan = registry_export.export_values(lines, "utf-8")._jdf.queryExecution().optimizedPlan().toString()
+    # the texts pass one exchange before they are grouped, not one for each thing carried
+    assert plan.count("RepartitionByExpression") == 2
+    joined = [j for j in plan.splitlines() if "Join LeftOuter" in j]
+    assert len(joined) == 1
+
+
 def test_entries_of_an_export(spark, tmp_path):
     (tmp_path / "hive.reg").write_bytes(EXPORT.encode("utf-16"))
     rows = {r.source: r.command for r in registry_entries(read_registry_export(spark, str(tmp_path))).collect()}
