@@ -124,7 +124,7 @@ def search(
     weights = [w for w in grid["class_weight"] if w != train.SUBSAMPLE]
     table, written = train.training_table(features, id_column, k, seed, weights)
     try:
-        data = fingerprint(table.drop(*[train.weight_column(w) for w in weights]))
+        data = fingerprint(table.drop(train.VECTOR, *[train.weight_column(w) for w in weights]))
         base = train.ForestParams(trees=max(grid["trees"]), depth=max(grid["depth"]), seed=seed)
         fits = [Fit(replace(base, **dict(zip(GROWN, values))), fold, k, data)
                 for values in product(*[grid[n] for n in GROWN]) for fold in range(k)]
