@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shellsieve.checks import corpus
 from shellsieve.plans import bagging, forest_table, search, train
-from shellsieve.session import settle
+from shellsieve.session import release, settle
 
 FOLDER = "/root/testdata/sf0.001"
 GRID = {"trees": (1, 3), "depth": (3, 8), "min_split": (2, 200), "class_weight": (7.0,), "criterion": ("gini", "entropy"), "min_leaf": (1,)}
@@ -43,6 +43,21 @@ def test_sizes_and_weights_are_those_of_each_bootstrap(spark, features):
     assert one_class.n1 == 0 and one_class.w1 is None
 
 
+def test_draws_are_hashed_once(spark, features):
+    """One mention of the hash in a bootstrap's filter, none when the draws are stored."""
+    table = train.model_input(features)
+    plan = bagging.bootstrap(table, "cmd_id", 1, 42)._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Filter" in line and "sha2" in line)
+    assert condition.count("sha2(") == 1
+    stored = settle(bagging.all_draws(table, "cmd_id", 3, 42))
+    rows = bagging.bootstrap(stored, "cmd_id", 1, 42)
+    assert "sha2" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.columns == table.columns
+    assert sorted(rows.collect()) == sorted(bagging.bootstrap(table, "cmd_id", 1, 42).collect())
+    sizes = [sorted(bagging.class_sizes(t, "cmd_id", "malicious", 3, 42).collect()) for t in (table, stored)]
+    assert sizes[0] == sizes[1]
+    release(stored)
+
+
 def test_forest_of_weighted_bootstraps(features):
     params = train.ForestParams(trees=4, depth=8, class_weight=train.SUBSAMPLE, min_split=2)
     model = train.fit_forest(features, params, "cmd_id")
