@@ -4,6 +4,8 @@ import os
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import DenseVector, SparseVector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -265,3 +267,27 @@ def test_stored_tables_have_the_vector_that_fits_read(features):
     assert sorted(own) == sorted(assembled)
     for part in written:
         release(part)
+
+
+@pytest.mark.parametrize("rows, parts", [(30_000, 3), (5_000, 1)])
+def test_texts_of_one_row_group_are_read_by_several_tasks(spark, tmp_path, rows, parts):
+    spark.range(0, rows, 1, 1).select(
+        F.col("id").alias("cmd_id"), F.concat(F.lit("ls "), "id").alias("command"), (F.col("id") % 2).alias("malicious"),
+    ).write.parquet(str(tmp_path / "one"))
+    features = train.build_dataset(spark.read.parquet(str(tmp_path / "one")))
+    sizes = features.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("cmd_id").alias("ids")).collect()
+    assert len(sizes) == parts and sum(r.n for r in sizes) == sum(r.ids for r in sizes) == rows
+    assert max(r.n for r in sizes) - min(r.n for r in sizes) <= 1
+
+
+def test_stored_vectors_hold_what_is_shorter_and_give_the_same_forest(spark, features):
+    table, written = train.training_table(features, "cmd_id", 2)
+    kinds = {type(r[0]) for r in table.select(VECTOR).collect()}
+    assert SparseVector in kinds
+    dense = table.withColumn(VECTOR, array_to_vector(F.array(*FEATURE_COLUMNS)))
+    shown = [train.forest(SMALL).fit(t).toDebugString.split("\n", 1)[1] for t in (table, dense)]
+    assert shown[0] == shown[1]
+    for part in written:
+        release(part)
+    full = spark.createDataFrame([(float("nan"), *[1.0] * 22)], ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
+    assert isinstance(train.add_vector(full).first()[VECTOR], DenseVector)
