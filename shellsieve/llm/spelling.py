@@ -11,6 +11,9 @@ the distance share that signature exactly; no pair is lost.  Signatures are equi
 Inside the join a candidate pair is first checked by lengths and by a 64-bit fold of the
 vectors (folding never adds differences), then by the edit distance itself.
 
+Every join is a merge join by hint: Spark sizes a written table by its compressed files, and one
+that is exploded to 36 signatures a word as before it, and would send it through the driver.
+
 Words are counted with partial sums before the exchange; a signature is a row of its own, so
 one that many words share is split by adaptive execution, and only verified pairs come out.
 """
@@ -83,7 +86,7 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
         & (F.bit_count(F.col("a_fold").bitwiseXOR(F.col("b_fold"))) <= 2)
         & (F.levenshtein("a_word", "b_word", 1) == 1)
     )
-    met = a.join(b, (a["signature"] == b["signature"]) & close)
+    met = a.join(b.hint("merge"), (a["signature"] == b["signature"]) & close)
     return met.select(F.col("a_word").alias("a"), "a_n", F.col("b_word").alias("b"), "b_n").distinct()
 
 
@@ -92,7 +95,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = written(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        after = written(roots.join(ahead, "root", "left").select(
+        after = written(roots.join(ahead.hint("merge"), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         discard(roots)
         roots = after.select("word", "root")
@@ -121,9 +124,9 @@ def spelling_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     best = both.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     often = -F.col("best.less") >= F.col("n") * times
-    judged = written(words.join(best, "word", "left").select(
+    judged = written(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(often, F.col("best.other")).alias("form"), F.when(often, -F.col("best.less")).alias("form_n")))
     roots = _roots(judged.filter("form IS NOT NULL"))
-    return judged.join(roots, "word", "left").select(
+    return judged.join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from shellsieve.llm import spelling
 from shellsieve.llm.spelling import spelling_variants
 
 COLUMNS = ["word", "form", "root", "n", "n_near", "form_n"]
@@ -68,3 +69,18 @@ def test_forms_are_followed_to_the_last(spark):
 def test_edge_rows(edge, edge_rows):
     assert found(edge, least=1) == plain(edge_rows, least=1)
     assert spelling_variants(edge.limit(0)).count() == 0
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """A table of few bytes, which Spark would send to all tasks, may have many signatures."""
+    plans = []
+
+    def noted(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(spelling, "written", lambda frame, real=spelling.written: real(noted(frame)))
+    rows = [(1, "plante " * 5 + "planter " * 30 + "planters " * 160)]
+    noted(spelling_variants(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert not any("Broadcast" in p for p in plans)
