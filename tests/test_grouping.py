@@ -105,6 +105,37 @@ def test_a_search_without_bootstraps_fits_and_judges_equal_rows_as_one(rows, gro
     assert told() == pytest.approx(got) and min(fits[number:]) >= 1999
 
 
+def test_a_search_with_bootstraps_fits_and_judges_groups(rows, grouped, fits):
+    """Trees of drawn groups, as many as the largest forest of the grid has; scores as of rows."""
+    grid = {"trees": (2, 5), "depth": (3, 8), "bins": (8,), "features_per_split": ("all",), "criterion": ("gini", "entropy"),
+            "class_weight": (7.0, train.BALANCED)}
+
+    def told():
+        found = train.grid_search(rows, "cmd_id", grid, k=2)
+        best = train.predictions(found.best_model, written(rows)).filter("prediction <> malicious").count()
+        return found, {r.combination: r.f2 for r in found.report.collect()}, best
+
+    found, got, wrong = told()
+    last = int(found.best().first().params["numTrees"])
+    assert len(fits) == 2 * 2 * 2 * 5 + last and max(fits) < 1200
+    assert found.best_model.stages[1].getNumTrees == last
+    number = len(fits)
+    grouping.GROUP_ROWS = 1 << 30
+    _, want, wrong_of_rows = told()
+    assert len(fits) == number + 2 * 2 * 2 * 2 + 1 and min(fits[number:]) >= 1999
+    assert got == pytest.approx(want, abs=0.04) and wrong == pytest.approx(wrong_of_rows, abs=150)
+
+
+def test_the_first_trees_of_a_searched_forest_are_the_smaller_forest(rows, grouped, fits):
+    def told(trees):
+        grid = {"trees": trees, "depth": (6,), "bins": (8,), "features_per_split": ("auto",)}
+        report = train.grid_search(rows, "cmd_id", grid, k=2).report.collect()
+        return {int(r.params["numTrees"]): r.f2 for r in report}
+
+    both = told((3, 7))
+    assert both[3] == told((3,))[3] and both[7] == told((7,))[7] and max(fits) < 1200
+
+
 def test_rows_that_differ_or_are_few_or_not_finite_stay_rows(spark, rows, monkeypatch):
     table = written(rows)
     assert grouping.group_rows(table, "malicious", ["weight_7"], 128) is None
